@@ -1,4 +1,4 @@
-"""Query p7: documents with the evaluation items that leaked into them."""
+"""Queries p7 and p9: leaked evaluation items and reading levels."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutlight.llm.leaks import find_leaks
+from cutlight.llm.reading import reading_levels
 from cutlight.sources import read_table
 
 
@@ -20,6 +21,19 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(t("documents"), t("eval_items")).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("longest").alias("longest"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    t = read_table(spark, d)
+    return reading_levels(t("documents"), t("reading_labels")).select("doc_id", "reading_level")
+
+
+def p9_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Per source (without regard to case and blanks) and level: documents and mean difficulty."""
+    t = read_table(spark, d)
+    source = t("documents").select("doc_id", F.lower(F.trim("source")).alias("source")).distinct()
+    levels = reading_levels(t("documents"), t("reading_labels"))
+    return levels.join(source, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("n_docs"), F.avg("difficulty").alias("mean_difficulty"))
+
+
 _WORDS = "list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^a-z0-9]+'), lambda x: x <> '')"
 _GRAMS = "unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) g"
 _SQL = f"""
@@ -29,5 +43,5 @@ ig as (select distinct item_id, {_GRAMS} from i where len(w) >= 10),
 dg as (select doc_id, {_GRAMS} from w where len(w) >= 10)
 """
 
-QUERIES = {"p7_found": p7_found, "p7_items": p7_items}
+QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_profile": p9_profile}
 SQL = {"p7_found": _SQL + "select distinct doc_id, item_id from dg join ig using (g)"}
