@@ -21,7 +21,7 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], latest: str |
     w = Window.partitionBy(*keys).orderBy(*([F.desc(latest)] if latest else []), *others or keys)
     newest = changes.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     kept = table.join(newest.select(*keys), keys, "left_anti")
-    return kept.unionByName(newest, allowMissingColumns=True)
+    return kept.unionByName(newest, allowMissingColumns=True).select(*table.columns)
 
 
 def replace_slices(table: DataFrame, fresh: DataFrame, key: str, touched: DataFrame | None = None) -> DataFrame:
