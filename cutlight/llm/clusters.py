@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutlight.llm.cells import NO_TAG, build_cells, fit_pivots, prepared, unit, unpack
-from cutlight.llm.graph import descend
+from cutlight.llm.graph import coded, descend
 from cutlight.session import cut, shuffle_width
 
 #: Similarity of means from which two cells are examined for a link.
 GRAPH_LEAST = 0.5
-#: Error of a cosine taken from half-precision means.
-SLACK = 2e-3
+#: Error of a cosine taken from coded means.
+SLACK = 5e-3
+#: Rows up to which a list of cells is broadcast to find them.
+FEW = 100_000
 
 
 def _links(cells: DataFrame, graph: DataFrame, least: float) -> DataFrame:
@@ -41,10 +43,16 @@ def _links(cells: DataFrame, graph: DataFrame, least: float) -> DataFrame:
             (average >= least + SLACK).alias("sure"), (F.cos(F.greatest(F.lit(0.0), far)) >= least - SLACK).alias("can"),
         ).where("sure or can")
     )
-    doubtful = pairs.where("not sure").select(F.when(F.col("n_a") >= F.col("n_b"), F.col("a")).otherwise(F.col("b")).alias("host"), F.when(F.col("n_a") >= F.col("n_b"), F.col("b")).otherwise(F.col("a")).alias("guest"))
-    blobs = cells.select("cell", "n", "vectors")
-    hosts = blobs.join(doubtful.select(F.col("host").alias("cell")).distinct(), "cell", "left_semi").select(F.col("cell").alias("host"), F.lit(None).cast("bigint").alias("guest"), "n", "vectors")
-    guests = doubtful.join(blobs.withColumnRenamed("cell", "guest"), "guest").select("host", "guest", "n", "vectors")
+    larger = F.col("n_a") >= F.col("n_b")
+    doubtful = pairs.where("not sure").select(
+        F.when(larger, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("guest")
+    )
+    # lists of cells are broadcast if they are known to be short, so that only their vectors move
+    short = (lambda df: F.broadcast(df)) if doubtful.count() <= FEW else (lambda df: df)
+    wanted = doubtful.select(F.col("host").alias("cell")).distinct()
+    hosts = cells.select("cell", "n", "vectors").join(short(wanted), "cell", "left_semi").select(F.col("cell").alias("host"), F.lit(None).cast("bigint").alias("guest"), "n", "vectors")
+    visiting = cells.select(F.col("cell").alias("guest"), "n", "vectors").join(short(doubtful), "guest")
+    guests = visiting.select("host", "guest", "n", "vectors")
 
     def compare(batches):
         host, held = None, None
@@ -68,7 +76,7 @@ def _scalars(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(length, pa.float64()), pa.array(r, pa.float64())], names=["cell", "n", "len", "r"])
 
 
-def communities(links: DataFrame, inner: DataFrame, rounds: int = 4) -> DataFrame:
+def communities(links: DataFrame, inner: DataFrame, rounds: int = 3) -> DataFrame:
     """node, label: communities by local moving for modularity.
 
     links: a, b, w. inner: node, w (weight within the node). In even rounds a node may move
@@ -112,7 +120,7 @@ def clustered_cells(segments: DataFrame, least: float = 0.8, tag: str | None = N
     if not pivots.by_space and rows.isEmpty():
         return None
     cells = build_cells(rows, pivots, least)
-    links = _links(cells, descend(cells, pivots, least=GRAPH_LEAST), least)
+    links = _links(cells, descend(coded(cells), pivots, least=GRAPH_LEAST), least)
     nodes = links.select(F.col("a").alias("cell")).union(links.select("b")).distinct()
     inner = cells.select("cell", "n", "mean", "cos_radius").join(nodes, "cell", "left_semi").mapInArrow(_scalars, "cell bigint, n int, len double, r double")
     groups = cut(communities(links, inner.select(F.col("cell").alias("node"), (F.col("n") * F.col("n") * F.col("len") * F.col("len")).alias("w"))))

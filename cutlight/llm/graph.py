@@ -43,16 +43,41 @@ def _near_in_block(cells: np.ndarray, x: np.ndarray, k: int, least: float, known
         yield cells[p + i], cells[q], s[p, q]
 
 
-def descend(cells: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.5, shared_pivots: int = 2, block: int = 4_096, rounds: int = 4) -> DataFrame:
+def code(x: np.ndarray) -> bytes:
+    """A vector's direction in one byte a dimension, behind the scale."""
+    top = max(float(np.abs(x).max()), 1e-30)
+    q = np.rint(x * (127 / top)).astype(np.int8)
+    return np.float32(1 / max(float(np.linalg.norm(q.astype(np.float32))), 1e-30)).tobytes() + q.tobytes()
+
+
+def decode(codes: list[bytes]) -> np.ndarray:
+    """Rows at length 1."""
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+
+
+def coded(cells: DataFrame) -> DataFrame:
+    """cell, space, v: the directions of the cells' means in short form, as a table in the shared folder."""
+
+    def shorten(batches):
+        for b in batches:
+            v = [code(np.frombuffer(m, np.float32)) for m in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(v, pa.binary())], names=["cell", "space", "v"])
+
+    return cut(cells.select("cell", "space", "mean").mapInArrow(shorten, "cell bigint, space string, v binary"))
+
+
+def descend(nodes: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.5, shared_pivots: int = 3, block: int = 4_096, rounds: int = 4, around_hub: int = 10) -> DataFrame:
     """Edges a, b, sim between cells of one space: each with up to k neighbours whose similarity is at least `least`.
 
-    The similarity of two cells is the cosine of their means; single vectors are cells
-    of one. The graph is approximate: a neighbour may be missed.
+    nodes: cell, space, v, as coded() makes them. The similarity of two cells is the
+    cosine of their means; single vectors are cells of one. The graph is approximate:
+    a neighbour may be missed. In a round a cell brings together its around_hub nearest
+    neighbours of either direction, if an edge of its own is new.
     """
-    spark = cells.sparkSession
+    spark = nodes.sparkSession
     shared = spark.sparkContext.broadcast(pivots)
     width = shuffle_width(spark)
-    nodes = cells.select("cell", "space", "mean")
 
     def spread(batches):
         p = shared.value
@@ -61,12 +86,11 @@ def descend(cells: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.5, sh
             space = np.array(b.column(1).to_pylist(), object)
             for name in sorted(set(space.tolist())):
                 at = np.flatnonzero(space == name)
-                x = _unit_rows([b.column(2)[int(i)].as_py() for i in at])
-                near = p.nearest(name, x, shared_pivots)
-                half = x.astype(np.float16)
+                codes = [b.column(2)[int(i)].as_py() for i in at]
+                near = p.nearest(name, decode(codes), shared_pivots)
                 for j, i in enumerate(at.tolist()):
                     cell = b.column(0)[i].as_py()
-                    out += [(int(g) + p.first.get(name, 0), name, cell, half[j].tobytes()) for g in near[j]]
+                    out += [(int(g) + p.first.get(name, 0), name, cell, codes[j]) for g in near[j]]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.binary()))], names=["grp", "space", "cell", "v"])
 
     def first(batches):
@@ -83,21 +107,14 @@ def descend(cells: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.5, sh
             for e in _near_in_block(cell, x, k, least, bar):
                 yield _edges(*e)
 
-    def halves(batches):
-        for b in batches:
-            x = [_unit_rows([m])[0].astype(np.float16).tobytes() for m in b.column(1).to_pylist()]  # lengths may differ
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["cell", "v"])
-
     size, fresh = None, graph
     for _ in range(rounds):
-        # hubs: each cell with its neighbours of either direction, of the reverse ones the 2k nearest
         both = graph.select("a", "b", "sim").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
         changed = fresh.select(F.col("a").alias("hub")).union(fresh.select("b")).distinct()
-        around = _best(both, 3 * k).join(changed.withColumnRenamed("hub", "a"), "a", "left_semi")
+        around = _best(both, around_hub).join(changed.withColumnRenamed("hub", "a"), "a", "left_semi")
         members = around.select(F.col("a").alias("hub"), F.col("b").alias("cell")).where("hub <> cell")
         bars = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("low")).select(F.col("a").alias("cell"), F.when(F.col("n") >= k, F.col("low")).alias("bar"))
-        vectors = nodes.join(graph.select(F.col("a").alias("cell")).union(graph.select("b")).distinct(), "cell", "left_semi").select("cell", "mean").mapInArrow(halves, "cell bigint, v binary")
-        gathered = members.join(vectors, "cell").join(bars, "cell", "left")
+        gathered = members.join(nodes.select("cell", "v"), "cell").join(bars, "cell", "left")
         nearer = gathered.repartition(width, "hub").sortWithinPartitions("hub", "cell").mapInArrow(join_around, _EDGE)
         new = nearer.join(graph, ["a", "b"], "left_anti").groupBy("a", "b").agg(F.max("sim").alias("sim"))
         merged = cut(_best(graph.unionByName(new), k))
@@ -109,18 +126,13 @@ def descend(cells: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.5, sh
     return graph
 
 
-def _unit_rows(means: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(m, np.float32) for m in means])
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-
 def _groups(batches, key: tuple[str, ...], name: str, block: int):
     """Sorted rows (key, name, v, bar?) in groups of at most `block`: numbers, matrix, bars."""
     now, ids, rows, bars = None, [], [], []
 
     def group():
         bar = np.array([-2.0 if x is None else x for x in bars], np.float32) if bars else None
-        return np.array(ids, np.int64), np.stack([np.frombuffer(r, np.float16) for r in rows]).astype(np.float32), bar
+        return np.array(ids, np.int64), decode(rows), bar
 
     for b in batches:
         cols = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in (*key, name, "v")}

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutlight.session import cut, shuffle_width
+from cutlight.session import cut
 
 #: Documents in a block of the flight phase.
 BLOCK = 20_000
@@ -130,6 +130,19 @@ def wanted_copies(sizes: DataFrame, targets: DataFrame, total: float | None = No
     return both.join(F.broadcast(most)).withColumn("copies", copies).drop("all_shares", "total")
 
 
+def _flights(seed: int, level: int, last: bool):
+    """The flight of one block, and in the last round its landing."""
+
+    def fly(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id")
+        rng = np.random.default_rng([seed, level, int(pdf["block"].iloc[0]), zlib.crc32(pdf["source"].iloc[0].encode())])
+        n = pdf["n_tokens"].to_numpy(np.float64)
+        p = flight(n, pdf["p"].to_numpy(), rng)
+        return pdf.assign(p=land(n, p) if last else p)[["doc_id", "source", "n_tokens", "whole", "p"]]
+
+    return fly
+
+
 def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str, total: float | None = None, seed: int = 1, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """A selection (doc_id, source, n_tokens, copies) and its report by source.
 
@@ -163,14 +176,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str, total:
         last = counts.where(F.col("n") > block).isEmpty()
         placed = undecided.join(counts.select("source", blocks.alias("blocks")), "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed + level)), F.col("blocks"))).drop("blocks")
 
-        def fly(pdf: pd.DataFrame, last=last, level=level) -> pd.DataFrame:
-            pdf = pdf.sort_values("doc_id")
-            rng = np.random.default_rng([seed, level, int(pdf["block"].iloc[0]), zlib.crc32(pdf["source"].iloc[0].encode())])
-            n = pdf["n_tokens"].to_numpy(np.float64)
-            p = flight(n, pdf["p"].to_numpy(), rng)
-            return pdf.assign(p=land(n, p) if last else p)[["doc_id", "source", "n_tokens", "whole", "p"]]
-
-        flown = cut(placed.repartition(shuffle_width(spark), "source", "block").groupBy("source", "block").applyInPandas(fly, schema))
+        flown = cut(placed.groupBy("source", "block").applyInPandas(_flights(seed, level, last), schema))
         decided = decided.unionByName(flown.where("p = 0 or p = 1"))
         if last:
             break
