@@ -29,9 +29,8 @@ SLACK = 5e-3
 FEW = 100_000
 
 
-def _links(cells: DataFrame, graph: DataFrame, least: float) -> DataFrame:
+def _links(cells: DataFrame, scalars: DataFrame, graph: DataFrame, least: float) -> DataFrame:
     """a, b, w: linked cells (a < b) and the sum of cosines between their vectors."""
-    scalars = cut(cells.select("cell", "n", "mean", "cos_radius").mapInArrow(_scalars, "cell bigint, n int, len double, r double"))
     pairs = graph.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
     side = lambda c: scalars.select(F.col("cell").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "len", "r")))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -120,9 +119,10 @@ def clustered_cells(segments: DataFrame, least: float = 0.8, tag: str | None = N
     if not pivots.by_space and rows.isEmpty():
         return None
     cells = build_cells(rows, pivots, least)
-    links = _links(cells, descend(coded(cells), pivots, least=GRAPH_LEAST), least)
+    scalars = cut(cells.select("cell", "n", "mean", "cos_radius").mapInArrow(_scalars, "cell bigint, n int, len double, r double"))
+    links = _links(cells, scalars, descend(coded(cells), pivots, least=GRAPH_LEAST), least)
     nodes = links.select(F.col("a").alias("cell")).union(links.select("b")).distinct()
-    inner = cells.select("cell", "n", "mean", "cos_radius").join(nodes, "cell", "left_semi").mapInArrow(_scalars, "cell bigint, n int, len double, r double")
+    inner = scalars.join(nodes, "cell", "left_semi")
     groups = cut(communities(links, inner.select(F.col("cell").alias("node"), (F.col("n") * F.col("n") * F.col("len") * F.col("len")).alias("w"))))
     label = lambda c: groups.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
     between = links.select("a", "b").join(label("a"), "a").join(label("b"), "b").where("a_label <> b_label").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()

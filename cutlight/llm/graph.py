@@ -25,9 +25,10 @@ def _edges(a, b, s) -> pa.RecordBatch:
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k most similar neighbours of each cell."""
+    """The k most similar neighbours of each cell; other columns than a, b and sim keep their largest value."""
     w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    return edges.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    others = [F.max(c).alias(c) for c in edges.columns if c not in ("a", "b")]
+    return edges.groupBy("a", "b").agg(*others).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
 def _near_in_block(cells: np.ndarray, x: np.ndarray, k: int, least: float, known: np.ndarray | None = None):
@@ -117,9 +118,9 @@ def descend(nodes: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.5, sh
         gathered = members.join(nodes.select("cell", "v"), "cell").join(bars, "cell", "left")
         nearer = gathered.repartition(width, "hub").sortWithinPartitions("hub", "cell").mapInArrow(join_around, _EDGE)
         new = nearer.join(graph, ["a", "b"], "left_anti").groupBy("a", "b").agg(F.max("sim").alias("sim"))
-        merged = cut(_best(graph.unionByName(new), k))
-        fresh = cut(merged.join(graph, ["a", "b"], "left_anti"))
-        graph, changes = merged, fresh.count()
+        merged = cut(_best(graph.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True))), k))
+        graph, fresh = merged.drop("new"), merged.where("new").drop("new")
+        changes = fresh.count()
         size = graph.count() if size is None else size
         if changes <= 0.01 * size:
             break
