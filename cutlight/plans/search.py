@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutlight.functions.text import term_coverage, text_confidence
+from cutlight.functions.text import clamp, fold_text, name_overlap, term_coverage, text_confidence, timecode, tokens
 from cutlight.functions.vectors import visual_confidence, z_score
 from cutlight.operators.fusion import best_location, eligible, fuse, ordering, trim
-from cutlight.operators.text_search import bm25, grouped_top_k, text_rows
+from cutlight.operators.people import people_named_like
+from cutlight.operators.text_search import bm25, grouped_top_k, label_frequency, text_rows
 from cutlight.operators.vector_search import exact_top_k, library_statistics, stride_sample
 from cutlight.plans.planner import SearchPlan
 
@@ -49,6 +50,43 @@ def text_candidates(rows: DataFrame, patterns: list[str], terms: list[str], dept
     )
 
 
+def label_candidates(hits: DataFrame, labels: DataFrame, phrases: list[str], least_rarity: float = 0.35) -> DataFrame:
+    """Confidence of label hits: words of the label that the phrases hold, decayed by rank, times its rarity.
+
+    hits: asset_id, moment_id, identifier, rank_no. labels: identifier, asset_id, of the
+    whole library. Labels that are common in it, or share no word, don't come out.
+    """
+    heard = " ".join(map(fold_text, phrases))
+    words = tokens(F.replace(F.col("identifier"), F.lit("_"), F.lit(" ")))
+    share = F.size(F.filter(words, lambda w: F.contains(F.lit(heard), w))) / F.greatest(F.size(words), F.lit(1))
+    rare = label_frequency(labels, "identifier", "asset_id").select("identifier", "rarity")
+    scored = hits.join(rare, "identifier", "left").withColumn("rarity", F.coalesce("rarity", F.lit(1.0)))
+    confidence = text_confidence(share, F.col("rank_no") - 1) * F.col("rarity")
+    return scored.where((F.col("rarity") >= least_rarity) & (share > 0)).withColumn("confidence", confidence).select("asset_id", "moment_id", "identifier", "rank_no", "confidence")
+
+
+def person_candidates(query: str, people: DataFrame, appearances: DataFrame, depth: int = 10) -> DataFrame:
+    """Candidates of the person channel: where people whose name resembles the query appear.
+
+    people: person_id, display_name. appearances: person_id, asset_id, start_seconds,
+    end_seconds, confidence.
+    """
+    found = people_named_like(people, query, depth)
+    found = found.withColumn("rank_no", F.row_number().over(Window.orderBy(F.desc("similarity"), "person_id")))
+    strength = F.greatest(term_coverage(F.col("name"), [query]), name_overlap(F.lit(query), F.col("name")))
+    seen = F.broadcast(found).join(appearances, "person_id")  # at most `depth` people
+    confidence = F.least(F.lit(1.0), text_confidence(strength, F.col("rank_no") - 1) * clamp(F.col("confidence")))
+    return seen.select(
+        "asset_id", F.lit(None).cast("bigint").alias("moment_id"), F.col("start_seconds").alias("seconds"), "end_seconds", F.lit("person").alias("channel"), "rank_no", confidence.alias("confidence")
+    )
+
+
+def evidence_label(channel: Column, text: Column, seconds: Column, most: int = 60) -> Column:
+    """What a result says about itself, per channel; long texts are cut."""
+    short = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
+    return F.format_string("%s: %s (%s)", channel, F.coalesce(short, F.lit("")), timecode(seconds))
+
+
 def visual_candidates(moments: DataFrame, query: Column, options: Options, by_surprise: bool = False) -> DataFrame:
     """Candidates of the visual channel.
 

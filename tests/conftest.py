@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from cutlight.session import local_session
 
-    s = local_session("4", **{"spark.driver.memory": "4g", "spark.sql.shuffle.partitions": "4"})
+    s = local_session("4", **{"spark.driver.memory": "4g", "spark.sql.shuffle.partitions": "2"})
     yield s
     s.stop()
 

@@ -27,8 +27,8 @@ def test_entry(spark):
 
 
 def test_wide_plan_prunes_columns(spark):
-    """The flagship reads five columns of the segments, not their embeddings."""
+    """Periods of speech read a few columns of the segments, not their embeddings."""
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("test tables absent")
-    plan = entry.entry(spark)._jdf.queryExecution().toString()
+    plan = entry.queries()["p5_found"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "ReadSchema" in plan and "embedding" not in plan.split("ReadSchema")[1].split("\n")[0]
