@@ -111,13 +111,13 @@ def label_frequency(labels: DataFrame, identifier: str, asset: str) -> DataFrame
 
 def keep_wildcards(vocab: DataFrame, terms: list[str], budget: int = BREADTH) -> list[str]:
     """Terms as patterns; a word gets a * if it is the start of few enough rows' words, a phrase none."""
-    out = []
-    for t in terms:
-        f = fold_text(t)
-        if len(f) >= 2:
-            wide = " " in f or prefix_breadth(vocab, t).first()[0] > budget
-            out.append(f if wide else f + "*")
-    return out
+    folded = list(dict.fromkeys(f for f in map(fold_text, terms) if len(f) >= 2))
+    words = [f for f in folded if " " not in f]
+    if not words:
+        return folded
+    sums = vocab.agg(*(F.coalesce(F.sum(F.when(F.col("term").startswith(w), F.col("n_rows"))), F.lit(0)) for w in words)).first()  # one row
+    breadth = dict(zip(words, sums))
+    return [f + "*" if breadth.get(f, budget + 1) <= budget else f for f in folded]
 
 
 def snippet(text, term: str, words: int = 12):

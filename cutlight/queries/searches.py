@@ -80,7 +80,7 @@ def person_confidence(spark: SparkSession, d: str) -> DataFrame:
     p = load(spark, d, "people").where("is_named").select("person_id", "display_name").distinct()
     links = load(spark, d, "voice_proposals").select("voice_id", "person_id").distinct()
     s = load(spark, d, "voice_segments").where("voice_id is not null and start_seconds >= 0 and end_seconds > start_seconds").select("voice_id", "asset_id", "start_seconds", "end_seconds", F.coalesce("confidence", F.lit(0.6)).alias("confidence")).distinct()
-    return se.person_candidates("Rosario", p, links.join(s, "voice_id"), 2000).select("asset_id", "seconds", "rank_no", F.round("confidence", 6).alias("confidence"))
+    return se.person_candidates("an", p, links.join(s, "voice_id"), 2000).select("asset_id", "seconds", "rank_no", F.round("confidence", 6).alias("confidence"))
 
 
 def evidence_labels(spark: SparkSession, d: str) -> DataFrame:

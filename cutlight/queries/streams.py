@@ -18,7 +18,7 @@ def _place(spark: SparkSession) -> str:
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.readStream.schema(load(spark, d, name).schema).option("maxFilesPerTrigger", 8).parquet(f"{d}/{name}.parquet")
+    return spark.readStream.schema(load(spark, d, name).schema).option("maxFilesPerTrigger", 8).parquet(f"{d}/{name}.parquet*")  # a pattern, as the table may be one file
 
 
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
