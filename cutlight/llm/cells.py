@@ -115,9 +115,8 @@ class Pivots:
         return np.take_along_axis(top, np.argsort(np.take_along_axis(-s, top, 1), axis=1, kind="stable"), 1)
 
 
-def fit_pivots(rows: DataFrame, least: float, block: int = BLOCK) -> Pivots:
-    """Pivots from about SAMPLE rows, those whose hash of the id is divisible by a number."""
-    total = rows.select("id").count()
+def fit_pivots(rows: DataFrame, total: int, least: float, block: int = BLOCK) -> Pivots:
+    """Pivots from about SAMPLE rows, those whose hash of the id is divisible by a number. total: rows, about."""
     every = max(1, total // SAMPLE)
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id", "space", "vector", "tag")
     parts: dict[str, list] = {}

@@ -115,7 +115,7 @@ def components(pairs: DataFrame) -> DataFrame:
 def clustered_cells(segments: DataFrame, least: float = 0.8, tag: str | None = None) -> tuple[DataFrame, DataFrame] | None:
     """The cells of all usable vectors, and cell, cluster for each of them; None without any vector."""
     rows = prepared(segments, tag)
-    pivots = fit_pivots(rows, least)
+    pivots = fit_pivots(rows, segments.count(), least)
     if not pivots.by_space and rows.isEmpty():
         return None
     cells = build_cells(rows, pivots, least)

@@ -68,13 +68,14 @@ def coded(cells: DataFrame) -> DataFrame:
     return cut(cells.select("cell", "space", "mean").mapInArrow(shorten, "cell bigint, space string, v binary"))
 
 
-def descend(nodes: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.5, shared_pivots: int = 3, block: int = 4_096, rounds: int = 4, around_hub: int = 10) -> DataFrame:
+def descend(nodes: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.5, shared_pivots: int = 3, block: int = 4_096, rounds: int = 4, around_hub: int = 10, settled: float = 0.02) -> DataFrame:
     """Edges a, b, sim between cells of one space: each with up to k neighbours whose similarity is at least `least`.
 
     nodes: cell, space, v, as coded() makes them. The similarity of two cells is the
     cosine of their means; single vectors are cells of one. The graph is approximate:
     a neighbour may be missed. In a round a cell brings together its around_hub nearest
-    neighbours of either direction, if an edge of its own is new.
+    neighbours of either direction, if an edge of its own is new; the rounds end when no more
+    than the share `settled` of the edges is new.
     """
     spark = nodes.sparkSession
     shared = spark.sparkContext.broadcast(pivots)
@@ -122,7 +123,7 @@ def descend(nodes: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.5, sh
         graph, fresh = merged.drop("new"), merged.where("new").drop("new")
         changes = fresh.count()
         size = graph.count() if size is None else size
-        if changes <= 0.01 * size:
+        if changes <= settled * size:
             break
     return graph
 
