@@ -90,7 +90,7 @@ class ItemIndex:
 def _rounds(items: DataFrame) -> list[list[tuple[int, str | None]]]:
     """Items on the driver in rounds of bounded size; the evaluation set is a stated query set."""
     rounds, now, size = [], [], 0
-    for r in items.select("item_id", "text").distinct().toLocalIterator():
+    for r in items.select("item_id", "text").where("item_id is not null").distinct().toLocalIterator():
         k = len(r[1] or "") // 2 + 1
         if now and size + k > MOST_ITEM_WORDS:
             rounds.append(now)
@@ -105,7 +105,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, n: int = 10) -> DataFrame
 
     A document and an item come out together if at least n consecutive words of the
     item occur consecutively in the document. n_words counts the words of the document
-    in such spans, longest the longest span. Null, blank and short texts match nothing,
+    in such spans, longest the longest span. Null, blank and short texts match nothing, nor do rows without an id;
     whole texts are read however long; a document that is repeated is reported once,
     items with equal texts each for themselves. Empty tables give an empty result.
     """
@@ -124,7 +124,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, n: int = 10) -> DataFrame
                         rows.append((i, item, len(spans), sum(long), max(long)))
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["doc_id", "item_id", "n_spans", "n_words", "longest"]).astype({"doc_id": "int64", "item_id": "int64", "n_spans": "int32", "n_words": "int32", "longest": "int32"}), preserve_index=False)
 
-        part = documents.select("doc_id", "text").where("text is not null").mapInArrow(scan, schema)
+        part = documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(scan, schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], schema)
