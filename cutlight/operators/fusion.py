@@ -5,7 +5,7 @@ Candidates: asset_id, moment_id, seconds, end_seconds, channel, rank_no, confide
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,24 +48,28 @@ def fuse(candidates: DataFrame, window: float = 30.0) -> DataFrame:
     buckets, or makes one of its own at 0 if the asset has nothing else.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = {c: k for k, c in enumerate(TIE_ORDER)}
-        timed = pdf[pdf["channel"] != "metadata"].copy()
-        timed["tie"] = timed["channel"].map(order).fillna(len(order))
-        timed = timed.sort_values(["seconds", "tie", "rank_no", "moment_id"], kind="stable")
-        none = lambda x: None if x is None or x != x else int(x)
-        buckets = fuse_one([(r.seconds, r.end_seconds, r.channel, int(r.rank_no), float(r.confidence), none(r.moment_id)) for r in timed.itertuples()], window)
-        meta = pdf[pdf["channel"] == "metadata"].sort_values("rank_no", kind="stable")
-        if len(meta):
-            if not buckets:
-                buckets = [{"start": 0.0, "end": 0.0, "moment": None, "ranks": {}, "confidences": {}}]
-            for b in buckets:
-                b["ranks"]["metadata"], b["confidences"]["metadata"] = int(meta["rank_no"].iloc[0]), float(meta["confidence"].iloc[0])
-        asset = int(pdf["asset_id"].iloc[0])
-        out = pd.DataFrame([(asset, b["moment"], b["start"], b["end"], b["ranks"], b["confidences"]) for b in buckets], columns=["asset_id", "moment_id", "start_seconds", "end_seconds", "ranks", "confidences"])
-        return out.astype({"moment_id": "Int64"})
-
-    return candidates.groupBy("asset_id").applyInPandas(fold, FUSED)
+    order = F.array_position(F.array(*map(F.lit, TIE_ORDER)), F.col("channel"))
+    tie = F.when(order == 0, len(TIE_ORDER) + 1).otherwise(order)
+    row = F.struct("seconds", tie.alias("tie"), "rank_no", "moment_id", "end_seconds", "channel", F.col("confidence").cast("double").alias("confidence"))
+    groups = candidates.groupBy("asset_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def fold(batches):
+        for b in batches:
+            out = []
+            for asset, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                timed = [(r["seconds"], r["end_seconds"], r["channel"], r["rank_no"], r["confidence"], r["moment_id"]) for r in rows if r["channel"] != "metadata"]
+                buckets = fuse_one(timed, window)
+                meta = min((r for r in rows if r["channel"] == "metadata"), key=lambda r: r["rank_no"], default=None)
+                if meta is not None:
+                    buckets = buckets or [{"start": 0.0, "end": 0.0, "moment": None, "ranks": {}, "confidences": {}}]
+                    for x in buckets:
+                        x["ranks"]["metadata"], x["confidences"]["metadata"] = meta["rank_no"], meta["confidence"]
+                out += [(asset, x["moment"], x["start"], x["end"], list(x["ranks"].items()), list(x["confidences"].items())) for x in buckets]
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.map_(pa.string(), pa.int32()), pa.map_(pa.string(), pa.float64()))
+            names = ("asset_id", "moment_id", "start_seconds", "end_seconds", "ranks", "confidences")
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
+
+    return groups.mapInArrow(fold, FUSED)
 
 
 def _by_channel(values: dict[str, float]) -> Column:
