@@ -35,7 +35,12 @@ def merge_batch(state: str, keys: list[str], latest: str) -> Callable[[DataFrame
     return apply
 
 
-def event_sessions(events: DataFrame, key: str, at: str, gap: str, late: str) -> DataFrame:
-    """Sessions of a stream with a watermark: key, start, last, n. A session ends with its last event, not a gap later."""
-    s = events.withWatermark(at, late).groupBy(key, F.session_window(at, gap).alias("w"))
+def event_sessions(events: DataFrame, key: str, at: str, gap: str, late: str | None) -> DataFrame:
+    """Sessions of a stream: key, start, last, n. A session ends with its last event, not a gap later.
+
+    late: how far events may lag behind the latest of earlier batches; those that lag more
+    are dropped, in complete mode too. None keeps every event, whatever the order of the files.
+    """
+    kept = events if late is None else events.withWatermark(at, late)
+    s = kept.groupBy(key, F.session_window(at, gap).alias("w"))
     return s.agg(F.count("*").alias("n"), F.max(at).alias("last")).select(key, F.col("w.start").alias("start"), "last", "n")

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from cutlight.queries.catalogue import event_sessions
+from cutlight.queries.streams import stream_sessions
 from cutlight.streaming import catalogue_stream as cs
 from tests.conftest import rows_of
 
@@ -25,3 +27,12 @@ def test_sessions(spark, table, tmp_path):
     q = s.writeStream.format("memory").queryName("sessions").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows_of(spark.sql("select user, n, (unix_timestamp(last) - unix_timestamp(start)) div 60 from sessions")) == [(1, 1, 0), (1, 2, 30), (2, 1, 0)]
+
+
+def test_sessions_of_many_files_in_shuffled_time(spark, table, tmp_path):
+    at = str(tmp_path / "events.parquet")
+    for k in range(18):  # more than two triggers of eight files; the latest days come first
+        day = T0 + dt.timedelta(days=(7 * k + 16) % 18)
+        table("user_id bigint, ts timestamp", *((u, day + dt.timedelta(minutes=m)) for u in (1, 2) for m in (0, 50, 300))).coalesce(1).write.mode("append").parquet(at)
+    got = rows_of(stream_sessions(spark, str(tmp_path)))
+    assert got == rows_of(event_sessions(spark, str(tmp_path))) and sum(r[3] for r in got) == 108
