@@ -4,31 +4,51 @@ Every document of a source is wanted equally often: whole copies first, then wit
 probability that is left. The probabilities are moved through the null space of the
 constraints, token total and number of documents, until each is 0 or 1 (flight phase).
 That is done block by block, and at most two documents of each block stay undecided; these
-go through further flights with each other until one block of a source is left, and
-the last two are decided so that the token total is met best (landing).
+go through further flights with each other until one block of a source is left. There
+the flight ends with the last LANDING documents undecided, and they are decided
+together so that the token total is met best (landing), which a small source needs: the
+sizes of two documents alone may miss its share by a quarter.
 """
 
 from __future__ import annotations
 
+import importlib.util
+import os
 import zlib
-from itertools import product
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutlight.session import cut
 
 #: Documents in a block of the flight phase.
 BLOCK = 20_000
+#: Documents of a source that are left for the landing: all their subsets are weighed.
+LANDING = 14
 #: Split pattern of the byte-level vocabularies in .tiktoken form, a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _LOADED: dict[str, object] = {}
 
 
+def find_tokenizer(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -> str:
+    """The path of a vocabulary: the session's spark.cutlight.tokenizer, else the file `name` of an installed package of public vocabularies.
+
+    Raises ValueError if there is neither. The path must exist on all executors.
+    """
+    named = spark.conf.get("spark.cutlight.tokenizer", None)
+    if named:
+        return named
+    package = importlib.util.find_spec("public_tokenizers")
+    for folder in package.submodule_search_locations if package else ():
+        if os.path.exists(at := os.path.join(folder, name)):
+            return at
+    raise ValueError("set spark.cutlight.tokenizer to the path of a vocabulary file")
+
+
 def token_counter(path: str):
     """A function from texts to their numbers of tokens, for a .json, .tiktoken or .model vocabulary."""
     if path not in _LOADED:
@@ -72,14 +92,14 @@ def source_key(source: Column) -> Column:
     return F.nullif(F.lower(F.regexp_replace(source, r"^\s+|\s+$", "")), F.lit(""))
 
 
-def flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Probabilities moved until at most two are neither 0 nor 1; sum(p) and sum(sizes * p) stay as they were."""
+def flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator, leave: int = 2) -> np.ndarray:
+    """Probabilities moved until at most `leave` (two or more) are neither 0 nor 1; sum(p) and sum(sizes * p) stay as they were."""
     p = p.astype(np.float64).copy()
     draws = rng.random(len(p) + 3)
     open_ = [k for k in range(len(p)) if 0 < p[k] < 1]
     hand, at = open_[:3], 3
     step = 0
-    while len(hand) == 3:
+    while len(hand) == 3 and len(hand) + len(open_) - at > leave:
         a, b, c = (float(sizes[k]) for k in hand)
         u = (b - c, c - a, a - b)
         if a == b == c:
@@ -102,12 +122,13 @@ def flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.nda
 
 
 def land(sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The last undecided documents (few) decided so that the size expected of them is met best, then their number."""
+    """The last undecided documents (at most LANDING) decided so that the size expected of them is met best, then their number."""
     open_ = np.flatnonzero((p > 0) & (p < 1))
-    want, number = float(sizes[open_] @ p[open_]), float(p[open_].sum())
-    best = min(product((0.0, 1.0), repeat=len(open_)), key=lambda s: (abs(float(sizes[open_] @ np.array(s)) - want), abs(sum(s) - number))) if len(open_) else ()
     out = p.copy()
-    out[open_] = best
+    if len(open_):
+        want, number = float(sizes[open_] @ p[open_]), float(p[open_].sum())
+        subsets = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+        out[open_] = subsets[np.lexsort((np.abs(subsets.sum(1) - number), np.abs(subsets @ sizes[open_] - want)))[0]]
     return out
 
 
@@ -137,7 +158,7 @@ def _flights(seed: int, level: int, last: bool):
         pdf = pdf.sort_values("doc_id")
         rng = np.random.default_rng([seed, level, int(pdf["block"].iloc[0]), zlib.crc32(pdf["source"].iloc[0].encode())])
         n = pdf["n_tokens"].to_numpy(np.float64)
-        p = flight(n, pdf["p"].to_numpy(), rng)
+        p = flight(n, pdf["p"].to_numpy(), rng, LANDING if last else 2)
         return pdf.assign(p=land(n, p) if last else p)[["doc_id", "source", "n_tokens", "whole", "p"]]
 
     return fly
@@ -152,14 +173,14 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str, total:
 
     Sources are compared without regard to case and outer blanks. Documents without
     source or text, without tokens, or of a source that isn't a target, are not used; a
-    repeated doc_id counts once. A target without documents stays at 0 and the others
+    repeated doc_id counts once (of different rows the one with the first source, then the shortest). A target without documents stays at 0 and the others
     share the total in proportion. No document is used more than max_repeats times. The
     same seed gives the same selection. Empty tables give an empty selection.
     """
     spark = documents.sparkSession
     sizes = cut(
         documents.select("doc_id", source_key(F.col("source")).alias("source"), count_tokens(F.col("text"), tokenizer).alias("n_tokens"))
-        .where("doc_id is not null and source is not null and n_tokens > 0").dropDuplicates(["doc_id"])
+        .where("doc_id is not null and source is not null and n_tokens > 0").groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("d")).select("doc_id", "d.*")
     )
     aims = cut(wanted_copies(sizes, targets, total))  # one row for each target
     docs = sizes.join(aims.select("source", "copies"), "source")

@@ -21,6 +21,14 @@ def test_flight_keeps_totals():
     assert mx.flight(np.array([]), np.array([]), rng).size == 0
 
 
+def test_landing_of_a_small_source():
+    """A source of which four documents are wanted meets its tokens, not only within a document."""
+    n = np.random.default_rng(5).integers(60, 400, 300).astype(float)
+    p = mx.flight(n, np.full(300, 4 / 300), np.random.default_rng(1), mx.LANDING)
+    assert ((p > 0) & (p < 1)).sum() <= mx.LANDING
+    assert abs(n @ mx.land(n, p) - n.sum() * 4 / 300) < 25
+
+
 def test_inclusion_is_unbiased():
     n = np.array([3.0, 5, 8, 13, 21, 34])
     hits = sum(mx.land(n, mx.flight(n, np.full(6, 0.5), np.random.default_rng(s))) for s in range(400)) / 400
@@ -40,6 +48,7 @@ def test_mix(table):
     assert chosen.groupBy("doc_id").count().where("count > 1").count() == 0
     again, _ = mx.mix_sources(docs.repartition(7), targets, VOCAB, block=64)
     assert rows_of(chosen) == rows_of(again)
+    assert mx.find_tokenizer(docs.sparkSession)
     few, few_report = mx.mix_sources(docs, targets, VOCAB, total=10**9)
     assert {r.source: r.most_copies for r in few_report.collect()} == {"big": 1, "small": 4, "empty": 0}
     none, _ = mx.mix_sources(docs.limit(0), targets, VOCAB)
