@@ -3,22 +3,23 @@
 The neighbour graph of cells (neighbour descent) gives the pairs of cells that may hold
 similar vectors. A pair counts as linked if two of its vectors are similar enough: surely
 so if the mean cosine between the cells is, surely not if the cells are too far apart for
-their radii, and by comparing the vectors otherwise. On the linked cells, weighted
-by the sum of cosines between them, communities of high modularity are formed by local
-moving; communities between which a link is left are then joined, since belonging
-together is transitive here. A record's internal degree, the sum of its cosines to all
-records of its cluster, is its dot product with the sum of their unit vectors.
+their radii, and by comparing the vectors otherwise. A cluster is what hangs together by
+links. Within the clusters, communities of high modularity are formed by local moving on
+the linked cells, weighted by the sum of cosines between them; they tell a cluster that is
+one voice from one in which several hang together by a few links. A record's internal
+degree, the sum of its cosines to all records of its community, is its dot product with
+the sum of their unit vectors.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutlight.llm.cells import NO_TAG, build_cells, fit_pivots, prepared, unit, unpack
-from cutlight.llm.graph import coded, descend
+from cutlight.llm.graph import coded, descend, graph_pivots
 from cutlight.session import cut, shuffle_width
 
 #: Similarity of means from which two cells are examined for a link.
@@ -75,8 +76,8 @@ def _scalars(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(length, pa.float64()), pa.array(r, pa.float64())], names=["cell", "n", "len", "r"])
 
 
-def communities(links: DataFrame, inner: DataFrame, rounds: int = 3) -> DataFrame:
-    """node, label: communities by local moving for modularity.
+def communities(links: DataFrame, inner: DataFrame, rounds: int = 12) -> DataFrame:
+    """node, label: communities by local moving for modularity, until no node moves (or after `rounds`).
 
     links: a, b, w. inner: node, w (weight within the node). In even rounds a node may move
     to a smaller label only, in odd ones to a larger, so that two never swap.
@@ -84,6 +85,7 @@ def communities(links: DataFrame, inner: DataFrame, rounds: int = 3) -> DataFram
     both = cut(links.select(F.col("a").alias("node"), F.col("b").alias("other"), "w").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"), "w")))
     degree = both.groupBy("node").agg(F.sum("w").alias("k")).join(inner.withColumnRenamed("w", "own"), "node").select("node", (F.col("k") + F.col("own")).alias("k"))
     state = cut(degree.withColumn("label", F.col("node")))
+    still = 0
     for i in range(rounds):
         total = state.agg(F.sum("k").alias("m2"))
         held = state.groupBy("label").agg(F.sum("k").alias("tot"))
@@ -94,7 +96,11 @@ def communities(links: DataFrame, inner: DataFrame, rounds: int = 3) -> DataFram
         gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)) / F.col("m2")
         way = F.col("label") < F.col("now") if i % 2 == 0 else F.col("label") > F.col("now")
         best = scored.where(stays | way).groupBy("node").agg(F.max_by("label", F.struct(gain.alias("g"), stays.alias("s"), -F.col("label"))).alias("label"))
-        state = cut(state.drop("label").join(best, "node"))
+        after = cut(state.withColumnRenamed("label", "before").join(best, "node"))
+        state = after.select("node", "k", "label")
+        still = still + 1 if after.where("label <> before").isEmpty() else 0
+        if still == 2:
+            break
     return state.select("node", "label")
 
 
@@ -112,24 +118,18 @@ def components(pairs: DataFrame) -> DataFrame:
             return state
 
 
-def clustered_cells(segments: DataFrame, least: float = 0.8, tag: str | None = None) -> tuple[DataFrame, DataFrame] | None:
-    """The cells of all usable vectors, and cell, cluster for each of them; None without any vector."""
+def linked_cells(segments: DataFrame, least: float = 0.8, tag: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None:
+    """The cells of all usable vectors, their scalars, their links, and cell, cluster for each of them; None without any vector."""
     rows = prepared(segments, tag)
     pivots = fit_pivots(rows, segments.count(), least)
     if not pivots.by_space and rows.isEmpty():
         return None
     cells = build_cells(rows, pivots, least)
     scalars = cut(cells.select("cell", "n", "mean", "cos_radius").mapInArrow(_scalars, "cell bigint, n int, len double, r double"))
-    links = _links(cells, scalars, descend(coded(cells), pivots, least=GRAPH_LEAST), least)
-    nodes = links.select(F.col("a").alias("cell")).union(links.select("b")).distinct()
-    inner = scalars.join(nodes, "cell", "left_semi")
-    groups = cut(communities(links, inner.select(F.col("cell").alias("node"), (F.col("n") * F.col("n") * F.col("len") * F.col("len")).alias("w"))))
-    label = lambda c: groups.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    between = links.select("a", "b").join(label("a"), "a").join(label("b"), "b").where("a_label <> b_label").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
-    roots = components(between)
-    joined = groups.join(roots.select(F.col("node").alias("label"), "root"), "label", "left").select(F.col("node").alias("cell"), F.coalesce("root", "label").alias("cluster"))
-    named = cells.select("cell").join(joined, "cell", "left").select("cell", F.coalesce("cluster", "cell").alias("cluster"))
-    return cells, cut(named)
+    links = _links(cells, scalars, descend(coded(cells), graph_pivots(cells, 4_096), least=GRAPH_LEAST), least)
+    roots = components(links)
+    named = cells.select("cell").join(roots.withColumnRenamed("node", "cell"), "cell", "left").select("cell", F.coalesce("root", "cell").alias("cluster"))
+    return cells, scalars, links, cut(named)
 
 
 def _members(cells: DataFrame, named: DataFrame) -> DataFrame:
@@ -172,31 +172,41 @@ def similarity_clusters(segments: DataFrame, least: float = 0.8, tag: str = "voi
     unusable embeddings are left out; an empty table gives an empty result; further
     columns are ignored.
     """
-    found = clustered_cells(segments, least, tag)
+    found = linked_cells(segments, least, tag)
     if found is None:
         return segments.sparkSession.createDataFrame([], "segment_id bigint, cluster_key bigint, size bigint")
-    members = cut(_members(*found))
+    members = cut(_members(found[0], found[3]))
     return members.join(_keys(members), "cluster").select(F.col("id").alias("segment_id"), "cluster_key", "size")
 
 
 def describe_clusters(segments: DataFrame, least: float = 0.8, tag: str = "voice_id", typical: int = 3) -> DataFrame:
-    """One row for each cluster: cluster_key, size, typical segments and their mean cosine to the others.
+    """One row for each cluster: cluster_key, size, first_id, communities, core_size, typical segments and centrality.
 
-    The typical segments are those of highest internal degree, best first.
+    communities is the number of communities of high modularity in the cluster, core_size the
+    number of records of the largest. The typical segments are those of highest internal degree
+    in that community, best first; centrality is the mean cosine of the first to its others.
     """
-    found = clustered_cells(segments, least, tag)
+    found = linked_cells(segments, least, tag)
     if found is None:
-        return segments.sparkSession.createDataFrame([], "cluster_key bigint, size bigint, first_id bigint, typical array<bigint>, centrality double")
-    cells, named = found
+        return segments.sparkSession.createDataFrame([], "cluster_key bigint, size bigint, first_id bigint, communities bigint, core_size bigint, typical array<bigint>, centrality double")
+    cells, scalars, links, named = found
+    nodes = links.select(F.col("a").alias("cell")).union(links.select("b")).distinct()
+    inner = scalars.join(nodes, "cell", "left_semi").select(F.col("cell").alias("node"), (F.col("n") * F.col("n") * F.col("len") * F.col("len")).alias("w"))
+    label = communities(links, inner).select(F.col("node").alias("cell"), "label")
+    placed = cut(named.join(label, "cell", "left").select("cell", "cluster", F.coalesce("label", "cell").alias("label")))
+    sizes = scalars.select("cell", "n").join(placed, "cell").groupBy("cluster", "label").agg(F.sum("n").alias("n"))
+    core = cut(sizes.groupBy("cluster").agg(F.count("*").alias("communities"), F.max("n").alias("core_size"), F.max_by("label", F.struct("n", -F.col("label"))).alias("label")))
 
     def sums(batches):
+        """The sum of the unit vectors of each community's cells, as far as a batch holds them."""
         for b in batches:
-            rows = []
+            held: dict[tuple[int, int], np.ndarray] = {}
             for cluster, n, mean in zip(*(b.column(k).to_pylist() for k in range(3))):
-                rows.append((cluster, (np.frombuffer(mean, np.float32).astype(np.float64) * n).tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["cluster", "s"])
+                v = np.frombuffer(mean, np.float32).astype(np.float64) * n
+                held[cluster, len(v)] = held[cluster, len(v)] + v if (cluster, len(v)) in held else v
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in held], pa.int64()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], names=["cluster", "s"])
 
-    own = cells.join(named, "cell")
+    own = cells.join(placed.join(core.select("cluster", "label", "core_size"), ["cluster", "label"]).where("core_size > 1").select("cell", "cluster"), "cell")
     parts = own.select("cluster", "n", "mean").mapInArrow(sums, "cluster bigint, s array<double>").select("cluster", F.posexplode("s"))
     total = parts.groupBy("cluster", "pos").agg(F.sum("col").alias("x")).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("total"))
 
@@ -211,11 +221,12 @@ def describe_clusters(segments: DataFrame, least: float = 0.8, tag: str = "voice
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["cluster", "id", "degree"])
 
     keys = cut(_keys(_members(cells, named)))
-    few = own.join(keys.select("cluster"), "cluster", "left_semi").join(total, "cluster").select("cluster", "n", "ids", "vectors", "total").mapInArrow(rank, "cluster bigint, id bigint, degree double")
+    few = own.join(total, "cluster").select("cluster", "n", "ids", "vectors", "total").mapInArrow(rank, "cluster bigint, id bigint, degree double")
     few = few.groupBy("cluster", "id").agg(F.max("degree").alias("degree"))
-    # three of each cell at most are left, so that a cluster's list is short
-    order = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("degree")).alias("d"), "id"))), 1, typical)
-    top = few.groupBy("cluster").agg(order.alias("t"))
-    return keys.join(top, "cluster").select(
-        "cluster_key", "size", "first_id", F.transform("t", lambda e: e["id"]).alias("typical"), F.round(-F.col("t")[0]["d"] / (F.col("size") - 1), 4).alias("centrality")
+    # the best of each cell at most are left, and of these the best of the cluster
+    w = Window.partitionBy("cluster").orderBy(F.desc("degree"), "id")
+    best = few.withColumn("r", F.row_number().over(w)).where(F.col("r") <= typical)
+    top = best.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda e: e["id"]).alias("typical"), F.max("degree").alias("degree"))
+    return keys.join(core.drop("label"), "cluster").join(top, "cluster", "left").select(
+        "cluster_key", "size", "first_id", "communities", "core_size", "typical", F.round(F.col("degree") / (F.col("core_size") - 1), 4).alias("centrality")
     )

@@ -1,7 +1,8 @@
 """Neighbour graph of cells by neighbour descent.
 
 The first neighbours of a cell are sought among the cells that share one of its
-nearest pivots. Then, round by round, each cell brings its neighbours together, and
+nearest pivots; the pivots are cells of several vectors themselves, and the more cells there
+are, the more pivots. Pivots with many cells are split by a hash. Then, round by round, each cell brings its neighbours together, and
 those that are nearer to each other than the neighbours that they have take each other
 as neighbours, until hardly any edge changes.
 """
@@ -13,9 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutlight.llm.cells import Pivots
+from cutlight.llm.cells import Pivots, _mix, unit
 from cutlight.session import cut, shuffle_width
 
+#: Most pivots of all spaces together; their means are held by every task (3 MB at 96 dimensions).
+MOST_PIVOTS = 8_192
+#: Cosine to its nearest pivot below which a cell belongs to none of them.
+LONE = 0.75
+
 _EDGE = "a bigint, b bigint, sim float"
 _EDGE_TYPES = [pa.int64(), pa.int64(), pa.float32()]
 
@@ -58,20 +64,41 @@ def decode(codes: list[bytes]) -> np.ndarray:
 
 
 def coded(cells: DataFrame) -> DataFrame:
-    """cell, space, v: the directions of the cells' means in short form, as a table in the shared folder."""
+    """cell, space, v, r: the directions of the cells' means in short form and their radius as an angle, as a table in the shared folder."""
 
     def shorten(batches):
         for b in batches:
             v = [code(np.frombuffer(m, np.float32)) for m in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(v, pa.binary())], names=["cell", "space", "v"])
+            r = np.arccos(np.clip(b.column(3).to_numpy(), -1, 1)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(v, pa.binary()), pa.array(r, pa.float32())], names=["cell", "space", "v", "r"])
+
+    return cut(cells.select("cell", "space", "mean", "cos_radius").mapInArrow(shorten, "cell bigint, space string, v binary, r float"))
 
-    return cut(cells.select("cell", "space", "mean").mapInArrow(shorten, "cell bigint, space string, v binary"))
 
+def graph_pivots(cells: DataFrame, block: int, most: int = MOST_PIVOTS) -> Pivots:
+    """Pivots for cells: the cells of two vectors or more, beyond `most` those with the smallest hashes. A space that has none has no pivots.
 
-def descend(nodes: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.5, shared_pivots: int = 3, block: int = 4_096, rounds: int = 4, around_hub: int = 10, settled: float = 0.02) -> DataFrame:
+    block: the number of cells from which a pivot is split.
+    """
+    several = cells.where("n > 1").select("space", "cell", "mean").withColumn("h", F.xxhash64("cell"))
+    rows = several.orderBy("h", "cell").limit(most).collect()  # at most `most` rows
+    counts = {r[0]: r[1] for r in cells.groupBy("space").count().collect()}  # one row for each model
+    by_space, first, salts, at = {}, {}, {}, 1
+    for space in sorted({r["space"] for r in rows}):
+        p = unit(np.stack([np.frombuffer(r["mean"], np.float32) for r in sorted(rows, key=lambda r: r["cell"]) if r["space"] == space]))
+        by_space[space], first[space] = p, at
+        # pivots that lie close together share their cells
+        crowd = ((p @ p.T) > 0.9).sum(1)
+        salts[space] = np.maximum(1, np.ceil(crowd * counts[space] / len(p) / block)).astype(np.int64)
+        at += len(p)
+    return Pivots(by_space, first, salts)
+
+
+def descend(nodes: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.3, shared_pivots: int = 3, lone_pivots: int = 8, block: int = 4_096, rounds: int = 10, around_hub: int = 10, settled: float = 0.01) -> DataFrame:
     """Edges a, b, sim between cells of one space: each with up to k neighbours whose similarity is at least `least`.
 
-    nodes: cell, space, v, as coded() makes them. The similarity of two cells is the
+    nodes: cell, space, v, as coded() makes them. A cell is first compared with those that share one
+    of its shared_pivots nearest pivots; one that is close to none, of its lone_pivots nearest. The similarity of two cells is the
     cosine of their means; single vectors are cells of one. The graph is approximate:
     a neighbour may be missed. In a round a cell brings together its around_hub nearest
     neighbours of either direction, if an edge of its own is new; the rounds end when no more
@@ -86,13 +113,18 @@ def descend(nodes: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.5, sh
         for b in batches:
             out: list = []
             space = np.array(b.column(1).to_pylist(), object)
+            all_cells = b.column(0).to_numpy()
             for name in sorted(set(space.tolist())):
                 at = np.flatnonzero(space == name)
                 codes = [b.column(2)[int(i)].as_py() for i in at]
-                near = p.nearest(name, decode(codes), shared_pivots)
-                for j, i in enumerate(at.tolist()):
-                    cell = b.column(0)[i].as_py()
-                    out += [(int(g) + p.first.get(name, 0), name, cell, codes[j]) for g in near[j]]
+                u = decode(codes)
+                near = p.nearest(name, u, lone_pivots)
+                salts = p.salts[name][near] if name in p.salts else np.ones_like(near)
+                group = (near + p.first.get(name, 0)) << 20 | _mix(all_cells[at])[:, None] % salts
+                # a cell that no pivot is close to may be near any of several
+                lone = (u * p.by_space[name][near[:, 0]]).sum(1) < LONE if name in p.by_space else np.zeros(len(u), bool)
+                counts = np.where(lone, lone_pivots, shared_pivots)
+                out += [(g, name, c, v) for gs, n, c, v in zip(group.tolist(), counts.tolist(), all_cells[at].tolist(), codes) for g in gs[:n]]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.binary()))], names=["grp", "space", "cell", "v"])
 
     def first(batches):
@@ -100,7 +132,7 @@ def descend(nodes: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.5, sh
             for e in _near_in_block(cell, x, k, least):
                 yield _edges(*e)
 
-    spread_out = nodes.mapInArrow(spread, "grp bigint, space string, cell bigint, v binary")
+    spread_out = nodes.select("cell", "space", "v").mapInArrow(spread, "grp bigint, space string, cell bigint, v binary")
     found = spread_out.repartition(width, "grp", "space").sortWithinPartitions("grp", "space", F.xxhash64("cell")).mapInArrow(first, _EDGE)
     graph = cut(_best(found, k))
 
