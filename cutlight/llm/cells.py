@@ -107,12 +107,17 @@ class Pivots:
         p = self.by_space.get(space)
         if p is None:
             return np.zeros((len(u), 1), np.int64)
-        s = u @ p.T
-        if k == 1:
-            return s.argmax(1)[:, None]
-        k = min(k, s.shape[1])
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        return np.take_along_axis(top, np.argsort(np.take_along_axis(-s, top, 1), axis=1, kind="stable"), 1)
+        k = min(k, len(p))
+        out = np.empty((len(u), k), np.int64)
+        step = max(1, 2_000_000 // len(p))  # so many rows at a time that their similarities stay small
+        for i in range(0, len(u), step):
+            s = -(u[i : i + step] @ p.T)
+            if k == 1:
+                out[i : i + step, 0] = s.argmin(1)
+                continue
+            top = np.argpartition(s, k - 1, axis=1)[:, :k]
+            out[i : i + step] = np.take_along_axis(top, np.argsort(np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+        return out
 
 
 def fit_pivots(rows: DataFrame, total: int, least: float, block: int = BLOCK) -> Pivots:

@@ -88,7 +88,7 @@ def graph_pivots(cells: DataFrame, block: int, most: int = MOST_PIVOTS) -> Pivot
         p = unit(np.stack([np.frombuffer(r["mean"], np.float32) for r in sorted(rows, key=lambda r: r["cell"]) if r["space"] == space]))
         by_space[space], first[space] = p, at
         # pivots that lie close together share their cells
-        crowd = ((p @ p.T) > 0.9).sum(1)
+        crowd = np.concatenate([((p[i : i + 256] @ p.T) > 0.9).sum(1) for i in range(0, len(p), 256)])
         salts[space] = np.maximum(1, np.ceil(crowd * counts[space] / len(p) / block)).astype(np.int64)
         at += len(p)
     return Pivots(by_space, first, salts)
