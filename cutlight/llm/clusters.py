@@ -126,7 +126,8 @@ def linked_cells(segments: DataFrame, least: float = 0.8, tag: str | None = None
         return None
     cells = build_cells(rows, pivots, least)
     scalars = cut(cells.select("cell", "n", "mean", "cos_radius").mapInArrow(_scalars, "cell bigint, n int, len double, r double"))
-    links = _links(cells, scalars, descend(coded(cells), graph_pivots(cells, 4_096), least=GRAPH_LEAST), least)
+    nodes = coded(cells)
+    links = _links(cells, scalars, descend(nodes, graph_pivots(cells, nodes, 4_096), least=GRAPH_LEAST), least)
     roots = components(links)
     named = cells.select("cell").join(roots.withColumnRenamed("node", "cell"), "cell", "left").select("cell", F.coalesce("root", "cell").alias("cluster"))
     return cells, scalars, links, cut(named)

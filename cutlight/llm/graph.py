@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutlight.llm.cells import Pivots, _mix, unit
+from cutlight.llm.cells import Pivots, _mix
 from cutlight.session import cut, shuffle_width
 
 #: Most pivots of all spaces together; their means are held by every task (3 MB at 96 dimensions).
@@ -75,38 +75,29 @@ def coded(cells: DataFrame) -> DataFrame:
     return cut(cells.select("cell", "space", "mean", "cos_radius").mapInArrow(shorten, "cell bigint, space string, v binary, r float"))
 
 
-def graph_pivots(cells: DataFrame, block: int, most: int = MOST_PIVOTS) -> Pivots:
-    """Pivots for cells: the cells of two vectors or more, beyond `most` those with the smallest hashes. A space that has none has no pivots.
+def graph_pivots(cells: DataFrame, nodes: DataFrame, block: int, most: int = MOST_PIVOTS) -> Pivots:
+    """Pivots for cells: the cells of two vectors or more, beyond `most` a share of them by hash. A space that has none has no pivots.
 
     block: the number of cells from which a pivot is split.
     """
-    several = cells.where("n > 1").select("space", "cell", "mean").withColumn("h", F.xxhash64("cell"))
-    rows = several.orderBy("h", "cell").limit(most).collect()  # at most `most` rows
-    counts = {r[0]: r[1] for r in cells.groupBy("space").count().collect()}  # one row for each model
+    counts = {r[0]: (r[1], r[2]) for r in cells.groupBy("space").agg(F.count("*"), F.count_if(F.col("n") > 1)).collect()}  # one row for each model
+    every = max(1, -(-sum(n for _, n in counts.values()) // most))
+    chosen = cells.where("n > 1").where(F.pmod(F.xxhash64("cell"), F.lit(every)) == 0).select("cell")
+    rows = nodes.select("cell", "space", "v").join(chosen, "cell").collect()  # about `most` rows of a byte a dimension
     by_space, first, salts, at = {}, {}, {}, 1
     for space in sorted({r["space"] for r in rows}):
-        p = unit(np.stack([np.frombuffer(r["mean"], np.float32) for r in sorted(rows, key=lambda r: r["cell"]) if r["space"] == space]))
+        p = decode([r["v"] for r in sorted(rows, key=lambda r: r["cell"]) if r["space"] == space])
         by_space[space], first[space] = p, at
         # pivots that lie close together share their cells
         crowd = np.concatenate([((p[i : i + 256] @ p.T) > 0.9).sum(1) for i in range(0, len(p), 256)])
-        salts[space] = np.maximum(1, np.ceil(crowd * counts[space] / len(p) / block)).astype(np.int64)
+        salts[space] = np.maximum(1, np.ceil(crowd * counts[space][0] / len(p) / block)).astype(np.int64)
         at += len(p)
     return Pivots(by_space, first, salts)
 
 
-def descend(nodes: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.3, shared_pivots: int = 3, lone_pivots: int = 8, block: int = 4_096, rounds: int = 10, around_hub: int = 10, settled: float = 0.01) -> DataFrame:
-    """Edges a, b, sim between cells of one space: each with up to k neighbours whose similarity is at least `least`.
-
-    nodes: cell, space, v, as coded() makes them. A cell is first compared with those that share one
-    of its shared_pivots nearest pivots; one that is close to none, of its lone_pivots nearest. The similarity of two cells is the
-    cosine of their means; single vectors are cells of one. The graph is approximate:
-    a neighbour may be missed. In a round a cell brings together its around_hub nearest
-    neighbours of either direction, if an edge of its own is new; the rounds end when no more
-    than the share `settled` of the edges is new.
-    """
-    spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast(pivots)
-    width = shuffle_width(spark)
+def under_pivots(nodes: DataFrame, pivots: Pivots, shared_pivots: int = 3, lone_pivots: int = 8) -> DataFrame:
+    """Each node once for each of its nearest pivots: grp (pivot and salt), pivot, space, cell, v, lone (whether no pivot is close to it)."""
+    shared = nodes.sparkSession.sparkContext.broadcast(pivots)
 
     def spread(batches):
         p = shared.value
@@ -120,20 +111,37 @@ def descend(nodes: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.3, sh
                 u = decode(codes)
                 near = p.nearest(name, u, lone_pivots)
                 salts = p.salts[name][near] if name in p.salts else np.ones_like(near)
-                group = (near + p.first.get(name, 0)) << 20 | _mix(all_cells[at])[:, None] % salts
+                pivot = near + p.first.get(name, 0)
+                group = pivot << 20 | _mix(all_cells[at])[:, None] % salts
                 # a cell that no pivot is close to may be near any of several
-                lone = (u * p.by_space[name][near[:, 0]]).sum(1) < LONE if name in p.by_space else np.zeros(len(u), bool)
+                lone = (u * p.by_space[name][near[:, 0]]).sum(1) < LONE if name in p.by_space else np.ones(len(u), bool)
                 counts = np.where(lone, lone_pivots, shared_pivots)
-                out += [(g, name, c, v) for gs, n, c, v in zip(group.tolist(), counts.tolist(), all_cells[at].tolist(), codes) for g in gs[:n]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.binary()))], names=["grp", "space", "cell", "v"])
+                for gs, ps, n, c, v, o in zip(group.tolist(), pivot.tolist(), counts.tolist(), all_cells[at].tolist(), codes, lone.tolist()):
+                    out += [(g, q, name, c, v, o) for g, q in zip(gs[:n], ps[:n])]
+            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], names=["grp", "pivot", "space", "cell", "v", "lone"])
+
+    return nodes.select("cell", "space", "v").mapInArrow(spread, "grp bigint, pivot bigint, space string, cell bigint, v binary, lone boolean")
+
+
+def descend(nodes: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.3, shared_pivots: int = 3, lone_pivots: int = 8, block: int = 4_096, rounds: int = 10, around_hub: int = 10, settled: float = 0.01) -> DataFrame:
+    """Edges a, b, sim between cells of one space: each with up to k neighbours whose similarity is at least `least`.
+
+    nodes: cell, space, v, as coded() makes them. A cell is first compared with those that share one
+    of its shared_pivots nearest pivots; one that is close to none, of its lone_pivots nearest. The similarity of two cells is the
+    cosine of their means; single vectors are cells of one. The graph is approximate:
+    a neighbour may be missed. In a round a cell brings together its around_hub nearest
+    neighbours of either direction, if an edge of its own is new; the rounds end when no more
+    than the share `settled` of the edges is new.
+    """
+    width = shuffle_width(nodes.sparkSession)
 
     def first(batches):
         for cell, x, _ in _groups(batches, ("grp", "space"), "cell", block):
             for e in _near_in_block(cell, x, k, least):
                 yield _edges(*e)
 
-    spread_out = nodes.select("cell", "space", "v").mapInArrow(spread, "grp bigint, space string, cell bigint, v binary")
-    found = spread_out.repartition(width, "grp", "space").sortWithinPartitions("grp", "space", F.xxhash64("cell")).mapInArrow(first, _EDGE)
+    found = under_pivots(nodes, pivots, shared_pivots, lone_pivots).select("grp", "space", "cell", "v").repartition(width, "grp", "space").sortWithinPartitions("grp", "space", F.xxhash64("cell")).mapInArrow(first, _EDGE)
     graph = cut(_best(found, k))
 
     def join_around(batches):
