@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from cutlight.llm.cells import Pivots, _mix
 from cutlight.session import cut, shuffle_width
 
-#: Most pivots of all spaces together; their means are held by every task (3 MB at 96 dimensions).
-MOST_PIVOTS = 8_192
+#: Most pivots of all spaces together; their means are held by every task (1.5 MB at 96 dimensions).
+MOST_PIVOTS = 4_096
 #: Cosine to its nearest pivot below which a cell belongs to none of them.
 LONE = 0.75
 
