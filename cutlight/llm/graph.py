@@ -96,7 +96,7 @@ def graph_pivots(cells: DataFrame, nodes: DataFrame, block: int, most: int = MOS
 
 
 def under_pivots(nodes: DataFrame, pivots: Pivots, shared_pivots: int = 3, lone_pivots: int = 8) -> DataFrame:
-    """Each node once for each of its nearest pivots: grp (pivot and salt), pivot, space, cell, v, lone (whether no pivot is close to it)."""
+    """Each node (cell, space, v, asked) once for each of its nearest pivots: grp (pivot and salt), space, cell, v, asked."""
     shared = nodes.sparkSession.sparkContext.broadcast(pivots)
 
     def spread(batches):
@@ -105,30 +105,31 @@ def under_pivots(nodes: DataFrame, pivots: Pivots, shared_pivots: int = 3, lone_
             out: list = []
             space = np.array(b.column(1).to_pylist(), object)
             all_cells = b.column(0).to_numpy()
+            all_asked = b.column(3).to_numpy(zero_copy_only=False)
             for name in sorted(set(space.tolist())):
                 at = np.flatnonzero(space == name)
                 codes = [b.column(2)[int(i)].as_py() for i in at]
                 u = decode(codes)
                 near = p.nearest(name, u, lone_pivots)
                 salts = p.salts[name][near] if name in p.salts else np.ones_like(near)
-                pivot = near + p.first.get(name, 0)
-                group = pivot << 20 | _mix(all_cells[at])[:, None] % salts
+                group = near + p.first.get(name, 0) << 20 | _mix(all_cells[at])[:, None] % salts
                 # a cell that no pivot is close to may be near any of several
                 lone = (u * p.by_space[name][near[:, 0]]).sum(1) < LONE if name in p.by_space else np.ones(len(u), bool)
-                counts = np.where(lone, lone_pivots, shared_pivots)
-                for gs, ps, n, c, v, o in zip(group.tolist(), pivot.tolist(), counts.tolist(), all_cells[at].tolist(), codes, lone.tolist()):
-                    out += [(g, q, name, c, v, o) for g, q in zip(gs[:n], ps[:n])]
-            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], names=["grp", "pivot", "space", "cell", "v", "lone"])
+                counts = np.where(lone | all_asked[at], lone_pivots, shared_pivots)
+                for gs, n, c, v, o in zip(group.tolist(), counts.tolist(), all_cells[at].tolist(), codes, all_asked[at].tolist()):
+                    out += [(g, name, c, v, o) for g in gs[:n]]
+            types = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], names=["grp", "space", "cell", "v", "asked"])
 
-    return nodes.select("cell", "space", "v").mapInArrow(spread, "grp bigint, pivot bigint, space string, cell bigint, v binary, lone boolean")
+    return nodes.select("cell", "space", "v", "asked").mapInArrow(spread, "grp bigint, space string, cell bigint, v binary, asked boolean")
 
 
 def descend(nodes: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.3, shared_pivots: int = 3, lone_pivots: int = 8, block: int = 4_096, rounds: int = 10, around_hub: int = 10, settled: float = 0.01) -> DataFrame:
     """Edges a, b, sim between cells of one space: each with up to k neighbours whose similarity is at least `least`.
 
     nodes: cell, space, v, as coded() makes them. A cell is first compared with those that share one
-    of its shared_pivots nearest pivots; one that is close to none, of its lone_pivots nearest. The similarity of two cells is the
+    of its shared_pivots nearest pivots; one that is close to none, of its lone_pivots nearest. A cell whose column
+    `asked` (optional) is true takes lone_pivots too, and keeps its first neighbours however far they are. The similarity of two cells is the
     cosine of their means; single vectors are cells of one. The graph is approximate:
     a neighbour may be missed. In a round a cell brings together its around_hub nearest
     neighbours of either direction, if an edge of its own is new; the rounds end when no more
@@ -137,11 +138,13 @@ def descend(nodes: DataFrame, pivots: Pivots, k: int = 8, least: float = 0.3, sh
     width = shuffle_width(nodes.sparkSession)
 
     def first(batches):
-        for cell, x, _ in _groups(batches, ("grp", "space"), "cell", block):
-            for e in _near_in_block(cell, x, k, least):
+        for cell, x, bar in _groups(batches, ("grp", "space"), "cell", block):
+            for e in _near_in_block(cell, x, k, -2.0, bar):
                 yield _edges(*e)
 
-    found = under_pivots(nodes, pivots, shared_pivots, lone_pivots).select("grp", "space", "cell", "v").repartition(width, "grp", "space").sortWithinPartitions("grp", "space", F.xxhash64("cell")).mapInArrow(first, _EDGE)
+    placed = under_pivots(nodes if "asked" in nodes.columns else nodes.withColumn("asked", F.lit(False)), pivots, shared_pivots, lone_pivots)
+    placed = placed.select("grp", "space", "cell", "v", F.when(F.col("asked"), -2.0).otherwise(least).alias("bar"))
+    found = placed.repartition(width, "grp", "space").sortWithinPartitions("grp", "space", F.xxhash64("cell")).mapInArrow(first, _EDGE)
     graph = cut(_best(found, k))
 
     def join_around(batches):
