@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that all items may have together; beyond it the items are processed in several rounds.
-MOST_ITEM_WORDS = 4_000_000
+#: Words of the items that are held at once (about 150 MB in a Python worker); beyond it the items are processed in several rounds.
+MOST_ITEM_WORDS = 400_000
 
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -140,28 +140,36 @@ def remove_leaks(documents: DataFrame, items: DataFrame, n: int = 10, most_share
     null texts too (n_removed 0).
     """
     spark = documents.sparkSession
-    rounds = _rounds(items)
-    if sum(map(len, rounds)) == 0:
+    found = None
+    for some in _rounds(items):
+        index = spark.sparkContext.broadcast(ItemIndex(some, n))
+
+        def scan(batches, index=index):
+            for b in batches:
+                rows = []
+                for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    spans = [{"first": x, "past": y} for s in index.value.scan(text).values() for x, y in s] if text else []
+                    if spans:
+                        rows.append((key, spans))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])))], names=["_key", "spans"])
+
+        part = documents.where("text is not null").select(F.sha2("text", 256).alias("_key"), "text").mapInArrow(scan, "_key string, spans array<struct<first:int,past:int>>")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return documents.withColumn("n_removed", F.lit(0))
-    shared = [spark.sparkContext.broadcast(ItemIndex(r, n)) for r in rounds]
+    # equal texts have equal spans, so a text is cleaned once however often it stands there
+    of_text = found.distinct().groupBy("_key").agg(F.flatten(F.collect_list("spans")).alias("_spans"))
 
     @F.pandas_udf("text string, n_removed int, share double")
-    def clean(texts: pd.Series) -> pd.DataFrame:
+    def clean(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []
-        for t in texts:
-            if not t:
-                out.append((t, 0, 0.0))
-                continue
-            gone: set[int] = set()
-            for s in shared:
-                for spans in s.value.scan(t).values():
-                    for x, y in spans:
-                        gone.update(range(x, y))
+        for t, own in zip(texts, spans):
+            gone = {k for x in own for k in range(x["first"], x["past"])} if own is not None else ()
             out.append((cut_words(t, gone), len(gone), len(gone) / max(1, len(words(t)))) if gone else (t, 0, 0.0))
         return pd.DataFrame(out, columns=["text", "n_removed", "share"])
 
-    kept = documents.withColumn("_clean", clean("text")).where(F.col("_clean.share") <= most_share)
-    return kept.withColumns({"text": F.col("_clean.text"), "n_removed": F.col("_clean.n_removed")}).drop("_clean")
+    kept = documents.withColumn("_key", F.sha2("text", 256)).join(of_text, "_key", "left").withColumn("_clean", clean("text", "_spans")).where(F.col("_clean.share") <= most_share)
+    return kept.withColumns({"text": F.col("_clean.text"), "n_removed": F.col("_clean.n_removed")}).select(*documents.columns, "n_removed")
 
 
 def cut_words(text: str, gone: set[int]) -> str:

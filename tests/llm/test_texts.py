@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from cutlight.llm.leaks import cut_words, find_leaks, remove_leaks, words
+from cutlight.llm import leaks as lk
 from cutlight.llm.reading import fit_reading_model, isotonic, level_bounds, reading_levels, tokens
 from tests.conftest import rows_of
 
@@ -41,6 +42,15 @@ def test_removal(table):
     assert cut_words("Ä b Ç d", {1, 2}) == "Ä  d" and words("Ärzte&nbsp;ISBN-10") == ["arzte", "nbsp", "isbn", "10"]
 
 
+def test_rounds_of_items(table, monkeypatch):
+    """Items beyond the bound are searched in rounds, with the same result."""
+    monkeypatch.setattr(lk, "MOST_ITEM_WORDS", 40)
+    docs = table(D, (1, "x " + ITEM + " y " + ITEM.replace("tres", "otro"), 7), (2, "b " * 30 + ITEM, 7), (2, "b " * 30 + ITEM, 7))
+    items = table(I, (1, ITEM, "s"), (2, "b " * 40, "s"), (3, ITEM.replace("tres", "otro"), "s"))
+    assert rows_of(find_leaks(docs, items).select("doc_id", "item_id")) == [(1, 1), (1, 3), (2, 1), (2, 2)]
+    assert rows_of(remove_leaks(docs, items, most_share=1.0).select("doc_id", "n_removed")) == [(1, 24), (2, 42), (2, 42)]
+
+
 def test_isotonic():
     x, f = isotonic(np.array([3.0, 1, 2, 4]), np.array([1.0, 0, 2, 3]))
     assert list(x) == [1, 2, 3, 4] and list(f) == [0, 1.5, 1.5, 3]
