@@ -8,8 +8,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with a mark and the letters that they fold to, Latin-1 and Latin Extended-A.
-_MARKED = "".join(chr(c) for c in range(0xC0, 0x180) if len(unicodedata.normalize("NFD", chr(c))) > 1)
+# Latin letters with marks (Latin-1 to Extended-B, Extended Additional) and the letters that they fold to.
+_MARKED = "".join(chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if unicodedata.normalize("NFD", chr(c))[0] != chr(c))
 _PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED)
 #: Combining marks, for text in decomposed form.
 _COMBINING = "[\\u0300-\\u036f]"
@@ -113,7 +113,3 @@ def parse_date(text: Column) -> Column:
     """ISO 8601, else the form that cameras write."""
     return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("yyyy:MM:dd HH:mm:ss")))
 
-
-def has_describable_content(c: Column) -> Column:
-    """whether a blank-separated word is neither an identifier (with a digit or underscore) nor shorter than three letters."""
-    return F.exists(F.split(F.trim(c), r"\s+"), lambda w: (F.length(w) > 2) & ~w.rlike("[0-9_]"))

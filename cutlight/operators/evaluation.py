@@ -70,11 +70,17 @@ def summary(cases: DataFrame) -> DataFrame:
 
 
 def upper_median(df: DataFrame, value: str) -> DataFrame:
-    """The element at position n / 2 of the sorted values, by one pass over their ranks."""
-    n = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    upto = n.withColumn("upto", F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    total = n.agg(F.sum("n").alias("total"))
-    return upto.join(F.broadcast(total)).where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min(value).alias("upper_median"))
+    """The element at position n / 2 of the sorted values; null if there is none.
+
+    Approximate percentiles bound the few values among which it lies; these are ranked exactly, from the count of those below them.
+    """
+    v = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
+    bounds = v.agg(F.count("*").alias("total"), F.percentile_approx("v", [0.499, 0.501], 100_000).alias("b"))
+    placed = v.join(F.broadcast(bounds))
+    below = placed.agg(F.count_if(F.col("v") < F.col("b")[0]).alias("below"))
+    near = placed.where(F.col("v").between(F.col("b")[0], F.col("b")[1])).groupBy("v", "total").agg(F.count("*").alias("n")).join(F.broadcast(below))
+    upto = F.col("below") + F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    return near.withColumn("upto", upto).where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("v").alias("upper_median"))
 
 
 def calibration(samples: DataFrame, score: str, relevant: str) -> DataFrame:

@@ -12,21 +12,18 @@ def overlap_seconds(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(e1, e2) - F.greatest(s1, s2))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str, slice_seconds: float | None = None) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, key: str, slice_seconds: float = 120.0) -> DataFrame:
     """Pairs of rows of one key whose intervals overlap: key, left_id, right_id, seconds.
 
-    left: key, left_id, start_a, end_a. right: key, right_id, start_b, end_b. With
-    slice_seconds both sides are spread over slices of time, so that a key with very many
-    rows is many small joins; a pair is taken in the slice in which its overlap starts.
+    left: key, left_id, start_a, end_a. right: key, right_id, start_b, end_b. Both sides are
+    spread over slices of time, so that a key with very many rows is many small joins; a
+    pair is taken in the slice in which its overlap starts. Rows that end before they start meet nothing.
     """
-    if slice_seconds is None:
-        both = left.join(right, key).where("start_a < end_b and end_a > start_b")
-    else:
-        first, last = (lambda c: F.floor(F.col(c) / slice_seconds)), (lambda c: F.floor(F.col(c) / slice_seconds))
-        a = left.where("end_a >= start_a").withColumn("slice", F.explode(F.sequence(first("start_a"), last("end_a"))))
-        b = right.where("end_b >= start_b").withColumn("slice", F.explode(F.sequence(first("start_b"), last("end_b"))))
-        both = a.join(b, [key, "slice"]).where("start_a < end_b and end_a > start_b")
-        both = both.where(F.col("slice") == F.floor(F.greatest("start_a", "start_b") / slice_seconds))
+    first, last = (lambda c: F.floor(F.col(c) / slice_seconds)), (lambda c: F.floor(F.col(c) / slice_seconds))
+    a = left.where("end_a >= start_a").withColumn("slice", F.explode(F.sequence(first("start_a"), last("end_a"))))
+    b = right.where("end_b >= start_b").withColumn("slice", F.explode(F.sequence(first("start_b"), last("end_b"))))
+    both = a.join(b, [key, "slice"]).where("start_a < end_b and end_a > start_b")
+    both = both.where(F.col("slice") == F.floor(F.greatest("start_a", "start_b") / slice_seconds))
     return both.select(key, "left_id", "right_id", overlap_seconds(*map(F.col, ("start_a", "end_a", "start_b", "end_b"))).alias("seconds"))
 
 
@@ -35,20 +32,40 @@ def overlap_totals(pairs: DataFrame, left_group: str, right_group: str, least: f
     return pairs.groupBy(left_group, right_group).agg(F.sum("seconds").alias("seconds")).where(F.col("seconds") >= least)
 
 
-def nearest_row(requests: DataFrame, rows: DataFrame, key: str, window: float | None = None) -> DataFrame:
+def nearest_row(requests: DataFrame, rows: DataFrame, key: str, window: float | None = None, slice_seconds: float = 600.0) -> DataFrame:
     """For each request the row of its key nearest in time: request_id, row_id, distance.
 
     requests: key, request_id, at. rows: key, row_id, start, optionally `end`. Ties go
     to the earlier start, then the smaller row_id. With a window, rows must touch
     [at - window, at + window].
+
+    Without a window, requests and rows are merged in order of time, slice by slice: the last row
+    at or before a request and the first one after it are all that can be nearest, and the slices
+    hand on their outermost rows. With one, rows meet the requests of the slices that they touch.
     """
-    both = requests.join(rows, key)
     if window is not None:
-        end = "end" if "end" in rows.columns else "start"
-        both = both.where((F.col(end) >= F.col("at") - window) & (F.col("start") <= F.col("at") + window))
-    both = both.withColumn("distance", F.abs(F.col("start") - F.col("at")))
-    w = Window.partitionBy("request_id").orderBy("distance", "start", "row_id")
-    return both.withColumn("r", F.row_number().over(w)).where("r = 1").select("request_id", "row_id", "distance")
+        end = F.greatest("start", "end") if "end" in rows.columns else F.col("start")
+        wide = max(float(window), 1.0)
+        at_slice = lambda c: F.floor(c / wide)
+        spread = rows.select(key, "row_id", "start", end.alias("_end")).withColumn("slice", F.explode(F.sequence(at_slice(F.col("start") - window), at_slice(F.col("_end") + window))))
+        both = requests.select(key, "request_id", "at").withColumn("slice", at_slice(F.col("at"))).join(spread, [key, "slice"])
+        both = both.where((F.col("_end") >= F.col("at") - window) & (F.col("start") <= F.col("at") + window))
+        near = both.groupBy("request_id").agg(F.min(F.struct(F.abs(F.col("start") - F.col("at")).alias("distance"), "start", "row_id")).alias("b"))
+        return near.select("request_id", "b.row_id", "b.distance")
+    place = F.struct(F.col("at").alias("start"), "row_id")
+    points = rows.where("start is not null").groupBy(key, F.col("start").alias("at")).agg(F.min("row_id").alias("row_id")).withColumns({"request_id": F.lit(None), "p": place})
+    asked = requests.select(key, "at", F.lit(None).alias("row_id"), "request_id", F.lit(None).alias("p")).where("at is not null")
+    line = points.unionByName(asked).withColumn("slice", F.floor(F.col("at") / slice_seconds))
+    up = Window.partitionBy(key, "slice").orderBy("at", F.col("p").isNull())
+    down = Window.partitionBy(key, "slice").orderBy(F.desc("at"), F.col("p").isNull())
+    told = line.withColumns({"before": F.last("p", True).over(up), "after": F.last("p", True).over(down)}).where("request_id is not null")
+    ends = line.groupBy(key, "slice").agg(F.max("p").alias("hi"), F.min("p").alias("lo"))
+    earlier, later = Window.partitionBy(key).orderBy("slice"), Window.partitionBy(key).orderBy(F.desc("slice"))
+    beyond = lambda c, w: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(key, "slice", beyond("hi", earlier).alias("hi"), beyond("lo", later).alias("lo"))
+    both = told.join(ends, [key, "slice"]).select("request_id", "at", F.array(F.coalesce("before", "hi"), F.coalesce("after", "lo")).alias("c"))
+    best = F.array_min(F.transform(F.filter("c", lambda x: x.isNotNull()), lambda x: F.struct(F.abs(x["start"] - F.col("at")).alias("distance"), x["start"].alias("start"), x["row_id"].alias("row_id"))))
+    return both.withColumn("b", best).where("b is not null").select("request_id", "b.row_id", "b.distance")
 
 
 def exact_or_nearest(requests: DataFrame, exact: DataFrame, rows: DataFrame, key: str) -> DataFrame:

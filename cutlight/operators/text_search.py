@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutlight.functions.text import fold, fold_text
+from cutlight.session import cut, shuffle_width
 
 K1, B = 1.2, 0.75
 #: Weight of the text column, multiplied into the term frequency before saturation.
@@ -30,6 +32,58 @@ def postings(rows: DataFrame) -> DataFrame:
     return words.groupBy("term", "row_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+@dataclass(frozen=True)
+class TextIndex:
+    """A stored index: postings with positions in order of term, vocabulary, and one row of statistics."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    statistics: DataFrame
+
+
+def build_index(rows: DataFrame) -> TextIndex:
+    """The index of text_rows, as tables in the shared folder.
+
+    Postings (term, row_id, tf, dl, positions) lie in files by ranges of term and row, sorted by term: a
+    query reads only the row groups of its words or prefixes, and a word that a third of the rows has fills several files.
+    """
+    words = rows.select("row_id", "dl", F.posexplode(F.split("folded", " ")).alias("pos", "term")).where("term <> ''")
+    posts = words.groupBy("term", "row_id").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    stored = cut(posts.repartitionByRange(shuffle_width(rows.sparkSession), "term", "row_id").sortWithinPartitions("term", "row_id"))
+    words = cut(stored.groupBy("term").agg(F.count("*").alias("n_rows")))
+    return TextIndex(stored, words, cut(rows.agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"))))
+
+
+def search_index(index: TextIndex, patterns: list[str], weight: float = WEIGHT) -> DataFrame:
+    """What bm25 gives, from a stored index: row_id and score.
+
+    The words of all patterns are read in one pass over their postings. The words of a phrase
+    have to stand side by side, which their positions tell; a prefix counts each word that starts with it.
+    """
+    asked = []  # pattern, place of the word in it, words in it, word, whether a prefix
+    patterns = list(dict.fromkeys(p for p in patterns if fold_text(p)))
+    for k, p in enumerate(patterns):
+        parts = fold_text(p).split()
+        asked += [(k, i, len(parts), w, p.endswith("*") and i == len(parts) - 1) for i, w in enumerate(parts)]
+    if not asked:
+        return index.postings.select("row_id", F.lit(0.0).alias("score")).limit(0)
+    fits = [F.col("term").startswith(w) if prefix else F.col("term") == w for _, _, _, w, prefix in asked]
+    hit = index.postings.where(reduce(lambda a, b: a | b, fits))
+    marks = F.filter(F.array(*(F.when(f, F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(n).alias("words"))) for f, (k, i, n, _, _) in zip(fits, asked))), lambda x: x.isNotNull())
+    hit = hit.withColumn("m", F.explode(marks)).select("row_id", "dl", "tf", "positions", "m.*")
+    found = hit.where("words = 1").groupBy("row_id", "k").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    if any(n > 1 for _, _, n, _, _ in asked):
+        placed = hit.where("words > 1").select("row_id", "k", "words", "dl", "i", F.explode("positions").alias("pos")).withColumn("at", F.col("pos") - F.col("i"))
+        whole = placed.groupBy("row_id", "k", "words", "at").agg(F.count_distinct("i").alias("c"), F.first("dl").alias("dl")).where("c = words")
+        found = found.unionByName(whole.groupBy("row_id", "k").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
+    # one row for each pattern
+    n = found.groupBy("k").agg(F.count("*").alias("n"))
+    idf = F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    tf = F.col("tf") * weight
+    part = F.when(idf <= 0, 1e-6).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return found.join(F.broadcast(n), "k").join(F.broadcast(index.statistics)).groupBy("row_id").agg(F.sum(part).alias("score"))
+
+
 def vocabulary(rows: DataFrame) -> DataFrame:
     """term, n_rows."""
     return rows.select(F.explode(F.array_distinct(F.split("folded", " "))).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n_rows"))
@@ -121,9 +175,10 @@ def keep_wildcards(vocab: DataFrame, terms: list[str], budget: int = BREADTH) ->
 
 
 def snippet(text, term: str, words: int = 12):
-    """Up to `words` words around the first that equals the term, which stands in « »."""
+    """Up to `words` words around the first that equals the term (without regard to case and accents), which stands in « »; null without one."""
     parts = F.split(text, r"\s+")
-    at = F.array_position(F.transform(parts, lambda w: F.lower(w)), term.lower()).cast("int")
+    wanted = fold_text(term)
+    at = F.array_position(F.transform(parts, fold), wanted).cast("int")
     start = F.greatest(F.lit(1), at - words // 2)
-    cut = F.slice(F.transform(parts, lambda w: F.when(F.lower(w) == term.lower(), F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w)), start, F.lit(words))
-    return F.when(at > 0, F.array_join(cut, " "))
+    shown = F.slice(F.transform(parts, lambda w: F.when(fold(w) == wanted, F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w)), start, F.lit(words))
+    return F.when(at > 0, F.array_join(shown, " "))

@@ -12,7 +12,7 @@ from cutlight.functions.text import clamp, fold_text, name_overlap, term_coverag
 from cutlight.functions.vectors import visual_confidence, z_score
 from cutlight.operators.fusion import best_location, eligible, fuse, ordering, trim
 from cutlight.operators.people import people_named_like
-from cutlight.operators.text_search import bm25, grouped_top_k, label_frequency, text_rows
+from cutlight.operators.text_search import TextIndex, bm25, grouped_top_k, label_frequency, search_index, text_rows
 from cutlight.operators.vector_search import exact_top_k, library_statistics, stride_sample
 from cutlight.plans.planner import SearchPlan
 
@@ -33,14 +33,14 @@ class Options:
     z_ceiling: float = 6.0
 
 
-def text_candidates(rows: DataFrame, patterns: list[str], terms: list[str], depth: int) -> DataFrame:
-    """Candidates of all text channels from one scan.
+def text_candidates(rows: DataFrame, patterns: list[str], terms: list[str], depth: int, index: TextIndex | None = None) -> DataFrame:
+    """Candidates of all text channels from one scan, or from a stored index of the rows.
 
     rows: row_id, asset_id, moment_id, kind, text, start_seconds, end_seconds. Scores use
     the statistics of all kinds; the split by channel comes after them.
     """
     channel = F.create_map(*(F.lit(x) for kv in CHANNEL_OF_KIND.items() for x in kv))
-    scored = bm25(text_rows(rows, "row_id", "text"), patterns)
+    scored = search_index(index, patterns) if index is not None else bm25(text_rows(rows, "row_id", "text"), patterns)
     full = scored.join(rows.withColumn("channel", F.try_element_at(channel, F.col("kind"))), "row_id").where("channel is not null")
     best = grouped_top_k(full, "channel", depth)
     confidence = text_confidence(term_coverage(F.col("text"), terms), F.col("rank_no") - 1)
@@ -124,9 +124,9 @@ def hydrate(results: DataFrame, assets: DataFrame, locations: DataFrame, volumes
     return named.join(where, "asset_id", "left").join(online, "volume_uuid", "left")
 
 
-def search(plan: SearchPlan, text: DataFrame, assets: DataFrame, patterns: list[str], moments: DataFrame | None = None, query_vector: Column | None = None, options: Options = Options()) -> DataFrame:
+def search(plan: SearchPlan, text: DataFrame, assets: DataFrame, patterns: list[str], moments: DataFrame | None = None, query_vector: Column | None = None, options: Options = Options(), index: TextIndex | None = None) -> DataFrame:
     """The ranked moments for a plan; without vectors the text channels alone answer."""
-    candidates = text_candidates(text, patterns, list(plan.literal), options.depth)
+    candidates = text_candidates(text, patterns, list(plan.literal), options.depth, index)
     if moments is not None and query_vector is not None and plan.visual:
         candidates = candidates.unionByName(visual_candidates(moments, query_vector, options))
     return ranked(candidates, assets, plan, options)

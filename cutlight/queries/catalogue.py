@@ -185,7 +185,9 @@ def hard_filters(spark: SparkSession, d: str) -> DataFrame:
 def media_types(spark: SparkSession, d: str) -> DataFrame:
     """Type by extension against the type on record."""
     a = load(spark, d, "assets").select("asset_id", "display_name", "media_type").distinct()
-    return a.select("asset_id", F.coalesce(fi.media_type(F.col("display_name")), F.lit("unknown")).alias("by_name"), "media_type")
+    e = F.element_at(F.array(*(F.lit(x) for x in ("MXF", "braw", "r3d", "HEIC", "heif", "cr3", "DNG", "nef", "bmp", "aac", "pdf", "flac"))), (F.pmod("asset_id", F.lit(12)) + 1).cast("int"))
+    kind = lambda c: F.coalesce(fi.media_type(c), F.lit("unknown"))
+    return a.select("asset_id", kind(F.col("display_name")).alias("by_name"), kind(F.concat_ws(".", "display_name", e)).alias("by_camera"), "media_type")
 
 
 def path_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -313,8 +315,11 @@ SQL = {
     "orphan_repair": f"with {_LOC} select location_id from l where (asset_id is null or asset_id in (select asset_id from assets)) and (volume_uuid is null or volume_uuid in (select volume_uuid from volumes))",
     "best_location": f"with {_LOC}, r as (select *, row_number() over (partition by asset_id order by list_position(['online', 'offline', 'moved', 'missing'], availability), location_id) r from l where asset_id is not null) select asset_id, location_id, availability from r where r = 1",
     "hard_filters": f"with {_MOM} select hit_id, asset_id from m where asset_id in (select asset_id from assets where media_type = 'video' and created_at between timestamptz '2025-01-01 00:00:00+00' and timestamptz '2025-12-31 23:59:59+00')",
-    "media_types": "select distinct asset_id, case when e in ('mov','mp4','m4v','avi','mkv','mts','m2ts','mpg','mpeg','webm') then 'video' when e in ('jpg','jpeg','png','heic','tif','tiff','gif','webp','bmp') then 'image'"
-    " when e in ('wav','mp3','m4a','aac','aif','aiff','flac','caf') then 'audio' else 'unknown' end by_name, media_type from (select *, lower(regexp_extract(display_name, '\\.([^./]+)$', 1)) e from assets)",
+    "media_types": "with m(e, kind) as (select unnest(string_split('mov mp4 m4v avi mkv mxf mts m2ts mpg mpeg webm braw r3d', ' ')), 'video'"
+    " union all select unnest(string_split('jpg jpeg png heic heif tif tiff dng cr2 cr3 nef arw raf orf webp gif', ' ')), 'image' union all select unnest(string_split('wav aiff aif m4a mp3 caf flac', ' ')), 'audio'),"
+    " a as (select distinct asset_id, media_type, lower(regexp_extract(display_name, '\\.([^./]+)$', 1)) e,"
+    " ['mxf', 'braw', 'r3d', 'heic', 'heif', 'cr3', 'dng', 'nef', 'bmp', 'aac', 'pdf', 'flac'][asset_id % 12 + 1] x from assets)"
+    " select asset_id, coalesce(m.kind, 'unknown') by_name, coalesce(n.kind, 'unknown') by_camera, media_type from a left join m using (e) left join m n on n.e = a.x",
     "path_rules": f"with {_LOC} select location_id, relative_path <> '' and not starts_with(relative_path, '/') and not list_contains(string_split(relative_path, '/'), '..') as safe, relative_path = 'export' or starts_with(relative_path, 'export/') inside from l",
     "volume_resolution": f"with {_LOC}, p as (select distinct '/' || relative_path path from l), x(mount, v) as (values ('', 'root'), ('/export', 'export'), ('/export/copia', 'copia'), ('/2025', 'y2025')),"
     " r as (select path, mount, v, row_number() over (partition by path order by length(mount) desc) r from p join x on path = mount or starts_with(path, mount || '/'))"

@@ -20,8 +20,19 @@ def _rows(spark, d):
     return ts.text_rows(load(spark, d, "documents"), "doc_id", "text")
 
 
+_INDEXES: dict[tuple, ts.TextIndex] = {}
+
+
+def _index(spark, d) -> ts.TextIndex:
+    """The stored index of a folder's documents, built when it is first asked for in a session."""
+    key = (spark.sparkContext.applicationId, tuple(sorted(load(spark, d, "documents").inputFiles())))
+    if key not in _INDEXES:
+        _INDEXES[key] = ts.build_index(_rows(spark, d))
+    return _INDEXES[key]
+
+
 def _scored(spark, d, patterns):
-    return ts.bm25(_rows(spark, d), patterns)
+    return ts.search_index(_index(spark, d), patterns)
 
 
 def _round(c, n=6):
@@ -74,9 +85,26 @@ def phrase_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_index(spark: SparkSession, d: str) -> DataFrame:
-    """The same scores over the inverted index."""
-    rows = _rows(spark, d)
-    return ts.bm25_from_postings(ts.postings(rows), rows, ["guitarra", "house"]).select(F.col("row_id").alias("doc_id"), _round("score").alias("score"))
+    """The index built anew: terms, postings and words."""
+    index = ts.build_index(_rows(spark, d))
+    sums = index.postings.agg(F.count_distinct("term").alias("n_terms"), F.count("*").alias("n_postings"), F.sum(F.size("positions")).alias("n_words"))
+    return sums.join(F.broadcast(index.statistics)).select("n_terms", "n_postings", "n_words", "n_all", _round("avgdl").alias("mean_words"))
+
+
+def bm25_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Words, a prefix and a phrase at once, by one scan of the texts without an index."""
+    return ts.bm25(_rows(spark, d), ["guitarra", "cam*", "red car"]).select(F.col("row_id").alias("doc_id"), _round("score").alias("score"))
+
+
+def mixed_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the index."""
+    return _scored(spark, d, ["guitarra", "cam*", "red car"]).select(F.col("row_id").alias("doc_id"), _round("score").alias("score"))
+
+
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    """The words around the first camera of each text."""
+    docs = load(spark, d, "documents").where("text is not null").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("t"))
+    return docs.select("doc_id", ts.snippet(F.col("t"), "Cámara").alias("snippet")).where("snippet is not null")
 
 
 def postings(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +120,7 @@ def grouped_text_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def prefix_breadth(spark: SparkSession, d: str) -> DataFrame:
     """A5: how many rows the expansions of prefixes reach."""
-    v = ts.vocabulary(_rows(spark, d))
+    v = _index(spark, d).vocabulary
     parts = [ts.prefix_breadth(v, p).select(F.lit(p).alias("prefix"), "breadth") for p in ("ca", "man", "zzz")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -307,7 +335,12 @@ SQL = {
     "bm25_topk": _bm25_sql(_TF) + " select doc_id, row_number() over (order by score desc, doc_id) rank_no, round(score, 6) score from sc order by 2 limit 20",
     "bm25_prefix": _bm25_sql([_prefix("cam"), _prefix("fri")]) + " select doc_id, round(score, 6) score from sc",
     "phrase_match": _bm25_sql([_phrase("red", "car"), _phrase("coche", "rojo")]) + " select doc_id, round(score, 6) score from sc",
-    "bm25_index": _bm25_sql([_word("guitarra"), _word("house")]) + " select doc_id, round(score, 6) score from sc",
+    "bm25_index": f"with {_W}, {_STATS}, p as (select doc_id, unnest(ws) t from w) select count(distinct t) n_terms, (select count(*) from (select distinct doc_id, t from p)) n_postings, count(*) n_words, any_value(n) n_all, round(any_value(a), 6) mean_words from p, st",
+    "bm25_scan": _bm25_sql([_word("guitarra"), _prefix("cam"), _phrase("red", "car")]) + " select doc_id, round(score, 6) score from sc",
+    "mixed_patterns": _bm25_sql([_word("guitarra"), _prefix("cam"), _phrase("red", "car")]) + " select doc_id, round(score, 6) score from sc",
+    "snippets": "with t as (select doc_id, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') p from documents where text is not null),"
+    " f as (select *, list_transform(p, lambda x: trim(regexp_replace(lower(strip_accents(x)), '[^a-z0-9]+', ' ', 'g'))) g from t), a as (select *, list_position(g, 'camara') i from f)"
+    " select doc_id, array_to_string(list_transform(range(greatest(1, i - 6), least(len(p), greatest(1, i - 6) + 11) + 1), lambda k: case when g[k] = 'camara' then '«' || p[k] || '»' else p[k] end), ' ') snippet from a where i > 0",
     "postings": f"with {_W}, p as (select doc_id, len(ws) dl, unnest(ws) term from w) select term, count(distinct doc_id) n_rows, count(*) n, max(dl) longest from p group by 1",
     "grouped_text_topk": _bm25_sql(_TF) + " select * from (select kind, doc_id, row_number() over (partition by kind order by score desc, doc_id) rank_no, round(score, 6) score from sc) where rank_no <= 5",
     "prefix_breadth": f"with {_W}, v as (select t, count(*) n from (select doc_id, unnest(list_distinct(ws)) t from w) group by 1)"
@@ -367,7 +400,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_prefix, phrase_match, bm25_index, postings, grouped_text_topk, prefix_breadth, text_confidence, label_rarity, fold_names, name_similarity,
+        bm25_topk, bm25_prefix, phrase_match, bm25_index, bm25_scan, mixed_patterns, snippets, postings, grouped_text_topk, prefix_breadth, text_confidence, label_rarity, fold_names, name_similarity,
         trigram_names, timecodes, vector_topk, library_zscore, centroid_refresh, ensemble_topk, int8_codec, dimension_conflict, hamming_hash, temporal_fusion, rrf_fusion,
         noisy_or_rank, trim_results, graded_hits, ndcg_recall_mrr, quality_summary, calibration_buckets, threshold_sweep, upper_median, rank_changes,
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutlight.functions.text import basename
-from cutlight.operators.text_search import keep_wildcards, text_rows, vocabulary
+from cutlight.operators.text_search import TextIndex, build_index, keep_wildcards, text_rows
 from cutlight.plans import planner as pl
 from cutlight.plans import search as se
 from cutlight.sources import load
@@ -20,7 +20,7 @@ QUERY = "la cámara en el río de noche"
 
 def _text(spark, d):
     """Documents and file names as text rows of the search."""
-    docs = load(spark, d, "documents").where("asset_id > 0 and text is not null").select(
+    docs = load(spark, d, "documents").where("text is not null").select(
         F.col("doc_id").alias("row_id"), "asset_id", F.lit(None).cast("bigint").alias("moment_id"), F.when(F.col("kind").isin("transcript", "ocr"), F.col("kind")).otherwise("note").alias("kind"), "text",
         (F.col("doc_id") % 600).cast("double").alias("start_seconds"), (F.col("doc_id") % 600 + 12).cast("double").alias("end_seconds"),
     )
@@ -43,26 +43,33 @@ def _moments(spark, d):
     )
 
 
+_INDEXES: dict[tuple, TextIndex] = {}
+
+
 def _planned(spark, d):
     plan = pl.plan_query(QUERY, LEXICON, datetime(2026, 1, 1))
     text = _text(spark, d)
-    return plan, text, keep_wildcards(vocabulary(text_rows(text, "row_id", "text")), list(plan.literal))
+    key = (spark.sparkContext.applicationId, tuple(sorted(text.inputFiles())))
+    if key not in _INDEXES:
+        _INDEXES[key] = build_index(text_rows(text, "row_id", "text"))
+    index = _INDEXES[key]
+    return plan, text, keep_wildcards(index.vocabulary, list(plan.literal)), index
 
 
 def text_search(spark: SparkSession, d: str) -> DataFrame:
     """The moments that answer a typed query, by the text channels."""
-    plan, text, patterns = _planned(spark, d)
-    out = se.search(plan, text, _assets(spark, d), patterns)
+    plan, text, patterns, index = _planned(spark, d)
+    out = se.search(plan, text, _assets(spark, d), patterns, index=index)
     return out.select("position", "asset_id", "start_seconds", "end_seconds", F.map_keys("ranks").alias("channels"), F.round("confidence", 6).alias("confidence"))
 
 
 def full_search(spark: SparkSession, d: str) -> DataFrame:
     """The same with the visual channel, and where to open each result."""
-    plan, text, patterns = _planned(spark, d)
+    plan, text, patterns, index = _planned(spark, d)
     m = _moments(spark, d)
     like = m.where("moment_id = 0").select("embedding").first()
     vector = F.array(*(F.lit(float(x)) for x in like[0])) if like else None
-    out = se.search(plan, text, _assets(spark, d), patterns, m, vector)
+    out = se.search(plan, text, _assets(spark, d), patterns, m, vector, index=index)
     full = se.hydrate(out, load(spark, d, "assets"), load(spark, d, "locations").where("asset_id > 0"), load(spark, d, "volumes"))
     return full.select("position", "asset_id", "display_name", "availability", "is_online", F.round("confidence", 6).alias("confidence"))
 

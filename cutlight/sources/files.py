@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 
 # Extensions by type, and the smallest sizes that count, in bytes.
 EXTENSIONS = {
-    "video": ("mov", "mp4", "m4v", "avi", "mkv", "mts", "m2ts", "mpg", "mpeg", "webm"),
-    "image": ("jpg", "jpeg", "png", "heic", "tif", "tiff", "gif", "webp", "bmp"),
-    "audio": ("wav", "mp3", "m4a", "aac", "aif", "aiff", "flac", "caf"),
+    "video": ("mov", "mp4", "m4v", "avi", "mkv", "mxf", "mts", "m2ts", "mpg", "mpeg", "webm", "braw", "r3d"),
+    "image": ("jpg", "jpeg", "png", "heic", "heif", "tif", "tiff", "dng", "cr2", "cr3", "nef", "arw", "raf", "orf", "webp", "gif"),
+    "audio": ("wav", "aiff", "aif", "m4a", "mp3", "caf", "flac"),
 }
 SMALLEST = {"image": 2 * 1024, "video": 64 * 1024, "audio": 64 * 1024}
 WHOLE, SAMPLE = 8 * 1024 * 1024, 1024 * 1024
