@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutlight.llm.nearest_time import file_key, match_nearest
-from cutlight.operators.intervals import MOST_SECONDS, milliseconds, timed
+from cutlight.operators.intervals import milliseconds, timed
 from cutlight.sources import read_table
 
 
 def _finite(c: str):
-    return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < MOST_SECONDS)
+    return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
@@ -20,7 +20,7 @@ def _matches(spark: SparkSession, d: str) -> DataFrame:
         t("relevant_moments").where(_finite("at_seconds"))
         .select(
             "case_id", file_key(F.col("asset")).alias("file"), F.col("judgement_id").alias("left_id"), milliseconds(F.col("at_seconds")).alias("at_ms"),
-            milliseconds(F.least(F.coalesce(F.nanvl("tolerance_seconds", F.lit(30.0)), F.lit(30.0)), F.lit(MOST_SECONDS))).alias("tolerance_ms"),
+            milliseconds(F.coalesce(F.nanvl("tolerance_seconds", F.lit(30.0)), F.lit(30.0))).alias("tolerance_ms"),
         )
         .distinct()
     )
