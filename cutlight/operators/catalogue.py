@@ -122,3 +122,29 @@ def scan_outcomes(scan: DataFrame, locations: DataFrame, assets: DataFrame) -> D
         .when(F.col("at_asset").isNotNull(), "rebound").when(F.col("was_missing"), "renamed").otherwise("new_location")
     )
     return both.select("volume_uuid", "relative_path", "content_key", F.coalesce("same_asset", "at_asset").alias("asset_id"), outcome.alias("outcome"))
+
+
+def page_after(rows: DataFrame, row_id: str, last: int | None, size: int = 4096) -> DataFrame:
+    """The next `size` rows by id after the last one seen (from the first on for None)."""
+    return (rows if last is None else rows.where(F.col(row_id) > last)).orderBy(row_id).limit(size)
+
+
+def moments_with_previews(moments: DataFrame, previews: DataFrame, most: int = 5000) -> DataFrame:
+    """The first `most` moments by asset_id and start_seconds that have a preview (moment_id, path)."""
+    return moments.join(previews, "moment_id").orderBy("asset_id", "start_seconds", "moment_id").limit(most)
+
+
+def text_gate(text: Column, confidence: Column) -> Column:
+    """recognised text counts from confidence 0.35 and two characters on."""
+    return F.coalesce((confidence >= 0.35) & (F.length(F.trim(text)) >= 2), F.lit(False))
+
+
+def best_labels(labels: DataFrame, moment: str, least: float = 0.3, most: int = 5) -> DataFrame:
+    """the `most` surest labels (identifier, confidence) of each moment, of at least `least`."""
+    w = Window.partitionBy(moment).orderBy(F.desc("confidence"), "identifier")
+    return labels.where(F.col("confidence") >= least).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+
+def speech_gate(start: Column, end: Column, quality: Column) -> Column:
+    """a stretch of speech counts from one second and quality 0.5 on."""
+    return F.coalesce((end - start >= 1.0) & (quality >= 0.5), F.lit(False))

@@ -36,3 +36,21 @@ def vectors(spark: SparkSession, n: int, dimensions: int, similarity: float, see
     rows = rows.withColumn("o", normalise(F.zip_with("r", "c", lambda x, y: x - F.col("along") * y)))
     side = (1 - similarity * similarity) ** 0.5
     return rows.select("vec_id", "scene", F.zip_with("c", "o", lambda x, y: (similarity * x + side * y).cast("float")).alias("embedding"))
+
+
+def moments(spark: SparkSession, assets_n: int, each: int, seed: int = 1) -> DataFrame:
+    """moment_id, asset_id, start_seconds, end_seconds, preview (a path), `each` for each asset."""
+    rows = spark.range(assets_n * each).select((F.col("id") + 1).alias("moment_id"), (F.floor(F.col("id") / each) + 1).alias("asset_id"), F.pmod("id", F.lit(each)).alias("k"))
+    start = F.round(F.col("k") * 12 + 4 * _uniform(F.col("moment_id"), F.lit(seed)), 3)
+    return rows.select("moment_id", "asset_id", start.alias("start_seconds"), (start + 8).alias("end_seconds"), F.format_string("previews/%03d/%d.jpg", F.pmod("moment_id", F.lit(997)), "moment_id").alias("preview"))
+
+
+def texts(spark: SparkSession, n: int, assets_n: int, words: tuple[str, ...], length: int = 12, ocr_share: float = 0.02, seed: int = 1) -> DataFrame:
+    """row_id, asset_id, kind (transcript, ocr), text, start_seconds, end_seconds: rows of words, the first of them the most frequent."""
+    vocabulary = F.array(*map(F.lit, words))
+    pick = lambda k: F.element_at(vocabulary, (F.floor(F.pow(_uniform(F.col("id"), F.lit(seed), k), F.lit(2.0)) * len(words)) + 1).cast("int"))
+    u = _uniform(F.col("id"), F.lit(seed), F.lit("at"))
+    return spark.range(1, n + 1).select(
+        F.col("id").alias("row_id"), (F.pmod("id", F.lit(assets_n)) + 1).alias("asset_id"), F.when(_uniform(F.col("id"), F.lit(seed), F.lit("kind")) < ocr_share, "ocr").otherwise("transcript").alias("kind"),
+        F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), pick), " ").alias("text"), F.round(3600 * u, 3).alias("start_seconds"), F.round(3600 * u + 6, 3).alias("end_seconds"),
+    )

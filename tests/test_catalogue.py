@@ -133,3 +133,9 @@ def test_files(spark, table, tmp_path):
     assert fi.new_files(scan, scan.where("path like '%MOV'")).count() == 1
     probed = fi.with_probe(scan, lambda p: (1.5,) if p.endswith("wav") else None, "duration double")
     assert {r.duration for r in probed.collect()} == {1.5, None}
+
+
+def test_camera_formats(table):
+    names = ["/a/B.MOV", "/a/b.mxf", "/a/b.braw", "/a/b.HEIC", "/a/b.cr3", "/a/b.wav", "/a/b.pdf", "/a.dng/b", "/a/b.heif"]
+    got = {r.p: r.k for r in table("p string", *((n,) for n in names)).select("p", fi.media_type(F.col("p")).alias("k")).collect()}
+    assert [got[n] for n in names] == ["video", "video", "video", "image", "image", "audio", None, None, "image"]

@@ -1,6 +1,6 @@
 import random
 
-from cutlight.operators.intervals import continuous_periods, gaps_between, speech_intervals
+from cutlight.operators.intervals import LATEST_MS, continuous_periods, gaps_between, speech_intervals
 from tests.conftest import rows_of
 
 S = "k string, start_ms bigint, end_ms bigint"
@@ -42,4 +42,27 @@ def test_speech(table):
         (1, " A ", 0.0, 1.0, 1), (1, "a", 1.0, 2.5, 1), (1, None, 0.0, 1.0, 1), (1, "  ", 0.0, 1.0, 1), (1, "b", float("nan"), 1.0, 1),
         (1, "b", 2.0, 1.0, 1), (1, "b", -1.0, 1.0, 1), (1, "b", 1.0, float("inf"), 1), (1, "b", None, 1.0, 1), (1, "b", 1e300, 2e300, 1),
     )
-    assert rows_of(speech_intervals(seg)) == [(1, "a", 0, 1000), (1, "a", 1000, 2500)]
+    # times beyond what a timestamp holds are clipped, not dropped
+    assert rows_of(speech_intervals(seg)) == [(1, "a", 0, 1000), (1, "a", 1000, 2500), (1, "b", LATEST_MS, LATEST_MS)]
+
+
+def test_far_ends(table):
+    """A segment that ends at 1e12 seconds is timed, and covers what comes after its start."""
+    seg = table("asset_id bigint, speaker string, start_seconds double, end_seconds double", (1, "a", 0.0, 1.0), (1, "a", 5.0, 1e12), (1, "a", 7.0, 8.0), (1, "a", 2e12, 3e13), (2, "a", 1.0, 2.0), (2, "a", 4e13, 5e13))
+    p = continuous_periods(speech_intervals(seg), ["asset_id", "speaker"])
+    assert rows_of(p) == [(1, "a", 0, 1000, 1), (1, "a", 2 * 10**15, LATEST_MS, 1), (1, "a", 5000, 10**15, 2), (2, "a", 1000, 2000, 1), (2, "a", LATEST_MS, LATEST_MS, 1)]
+    assert rows_of(gaps_between(p, ["asset_id", "speaker"]))[0] == (1, "a", 1000, 5000)
+
+
+def test_slices_are_stitched(table):
+    """Whatever the slices' width, the periods and gaps are those of one slice."""
+    import random
+
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(3), s, s + rnd.choice((0, 3, 40, 900))) for s in (rnd.randrange(9000) for _ in range(400))] + [(None, 5, 9), (None, 9, 20), (7, 0, 50_000)]
+    df = table("k int, start_ms bigint, end_ms bigint", *rows)
+    whole = continuous_periods(df, ["k"], 10**9)
+    for width in (10, 70, 1000):
+        p = continuous_periods(df, ["k"], width)
+        assert rows_of(p) == rows_of(whole)
+        assert rows_of(gaps_between(p, ["k"], width)) == rows_of(gaps_between(whole, ["k"], 10**9))

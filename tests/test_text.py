@@ -93,3 +93,18 @@ def test_coverage(table):
     assert df.select(tx.term_coverage(F.col("t"), [])).first()[0] == 1
 
 
+
+
+def test_fold_of_all_latin(table):
+    names = ["Timișoara Nguyễn", "Łódź Ünïcode", "Ǆ ǅ ﬁ", "São Tomé é", "Ằ ằ ḁ"]
+    got = [r[0] for r in table("i int, t string", *enumerate(names)).orderBy("i").select(tx.fold("t")).collect()]
+    assert got[0] == "timisoara nguyen" == tx.fold_text(names[0]) and got[3:] == [tx.fold_text(n) for n in names[3:]]
+
+
+def test_index_scores_like_the_scan(table):
+    rows = ts.text_rows(table("i bigint, t string", (1, "a red car and a red car"), (2, "the car is red"), (3, "redder cars"), (4, " "), (5, None), (6, "red red car, rojo"), (6, "red")), "i", "t").dropDuplicates(["row_id"])
+    index = ts.build_index(rows)
+    for patterns in (["red"], ["red car", "car"], ["red*"], ["red car*", "the"], [], ["zzz", "of zzz"], ["Rojo"]):
+        a = {r.row_id: round(r.score, 9) for r in ts.bm25(rows, patterns).collect()}
+        assert a == {r.row_id: round(r.score, 9) for r in ts.search_index(index, patterns).collect()}, patterns
+    assert ts.search_index(ts.build_index(rows.limit(0)), ["red"]).count() == 0
