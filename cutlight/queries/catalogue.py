@@ -88,13 +88,13 @@ def sampling_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyframe_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Events whose hash differs enough from the last one kept (a fold in order of time, so without SQL)."""
-    e = load(spark, d, "events").select("user_id", "event_id", F.xxhash64("event_type", "props").alias("h"))
+    """Events whose hash differs enough from the last one kept, a fold in order of time."""
+    e = load(spark, d, "events").select("user_id", "event_id", F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 15), 16, 10).cast("bigint").alias("h"))
     return te.changed_frames(e, "user_id", "event_id", "h", 30).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 def transcript_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Segments gathered into chunks of twelve seconds (a fold in order of time, so without SQL)."""
+    """Segments gathered into chunks of twelve seconds, a fold in order of time."""
     w = _segments(spark, d).select("asset_id", "start", "end", F.col("speaker").alias("text"), "confidence")
     return te.chunk_transcript(w).groupBy("asset_id").agg(F.count("*").alias("n"), F.round(F.max("end_seconds"), 3).alias("last_seconds"))
 
@@ -281,7 +281,25 @@ def _islands(src: str, keys: str, gap: float) -> str:
     )
 
 
+def similarity_sql(query: str) -> str:
+    """CTE si: person_id, f (folded name), ws (its words), sim: how much named people resemble a query of one word."""
+    fold, n = "trim(regexp_replace(lower(strip_accents(display_name)), '[^a-z0-9]+', ' ', 'g'))", len(query)
+    near = lambda x: f"1 - levenshtein('{query}', {x}) / greatest(length({x}), {n})"
+    return (
+        f"na as (select distinct person_id, {fold} f from people where is_named and display_name is not null), wo as (select *, list_filter(string_split(f, ' '), lambda x: x <> '') ws from na),"
+        f" si as (select *, case when f = '' then 0 when contains(f, '{query}') or contains('{query}', f) then 1 else greatest(list_max(list_transform(ws, lambda x: {near('x')})), {near('f')}) end sim from wo)"
+    )
+
+
 SQL = {
+    "keyframe_filter": "with recursive e as (select user_id, row_number() over (partition by user_id order by event_id) n, cast('0x' || substr(md5(cast(event_id as varchar)), 1, 15) as bigint) h from events),"
+    " k as (select user_id, n, h as kept, true as new from e where n = 1 union all select e.user_id, e.n, case when bit_count(xor(e.h, k.kept)) >= 30 then e.h else k.kept end, bit_count(xor(e.h, k.kept)) >= 30 from k join e on e.user_id = k.user_id and e.n = k.n + 1)"
+    " select user_id, count_if(new) n from k group by 1",
+    "transcript_chunks": f"with recursive {_SEG}, o as (select asset_id, b, e, row_number() over (partition by asset_id order by b, e) n from s where speaker is not null),"
+    " k as (select asset_id, n, 1 as c, b as f, e, e - b >= 12 as full_ from o where n = 1 union all select o.asset_id, o.n, case when k.full_ then k.c + 1 else k.c end, case when k.full_ then o.b else k.f end, o.e,"
+    " o.e - case when k.full_ then o.b else k.f end >= 12 from k join o on o.asset_id = k.asset_id and o.n = k.n + 1) select asset_id, cast(max(c) as bigint) n, round(max(e), 3) last_seconds from k group by 1",
+    "people_like": f"with {similarity_sql('rosario')} select person_id, round(sim, 6) similarity from si where sim >= 0.62 and (contains('rosario', f) or len(list_intersect(list_transform(range(1, length(f) - 1), lambda i: substring(f, i, 3)), ['ros', 'osa', 'sar', 'ari', 'rio'])) > 0)"
+    " order by sim desc, person_id limit 25",
     "interval_overlap": f"with {_SEG}, {_MOM} select hit_id, voice_id, round(sum(least(e, end_seconds) - greatest(b, start_seconds)), 3) as seconds from m join s using (asset_id)"
     " where voice_id is not null and start_seconds < e and end_seconds > b group by 1, 2 having sum(least(e, end_seconds) - greatest(b, start_seconds)) >= 10",
     "nearest_in_time": f"with {_SEG}, {_MOM}, r as (select hit_id, segment_id, abs(b - start_seconds) d, row_number() over (partition by hit_id order by abs(b - start_seconds), b, segment_id) r from m join s using (asset_id))"

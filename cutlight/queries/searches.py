@@ -11,6 +11,7 @@ from cutlight.functions.text import basename
 from cutlight.operators.text_search import TextIndex, build_index, keep_wildcards, text_rows
 from cutlight.plans import planner as pl
 from cutlight.plans import search as se
+from cutlight.queries.catalogue import similarity_sql
 from cutlight.sources import load
 
 #: A word list for the queries below; callers give their own.
@@ -98,6 +99,11 @@ def evidence_labels(spark: SparkSession, d: str) -> DataFrame:
 
 _L = "l as (select distinct concat_ws('_', lang, kind) identifier, asset_id from documents where asset_id > 0)"
 SQL = {
+    "person_confidence": f"with {similarity_sql('an')}, b as (select * from si where sim >= 0.62 order by sim desc, person_id limit 2000), r as (select *, row_number() over (order by sim desc, person_id) rank_no from b),"
+    " st as (select *, greatest(case when contains(f, 'an') then 1 else 0 end, case when len(ws) = 0 then 0 else len(list_filter(ws, lambda x: x = 'an')) / len(ws) end) strength from r),"
+    " v as (select distinct voice_id, person_id from voice_proposals), s as (select distinct voice_id, asset_id, start_seconds, end_seconds, coalesce(confidence, 0.6) c from voice_segments"
+    " where voice_id is not null and start_seconds >= 0 and end_seconds > start_seconds)"
+    " select asset_id, start_seconds as \"seconds\", cast(rank_no as int) rank_no, round(least(1, strength / (1 + (rank_no - 1) / 10.0) * least(1, greatest(0, c))), 6) confidence from st join v using (person_id) join s using (voice_id)",
     "label_confidence": f"with {_L}, n as (select count(distinct asset_id) n from l), f as (select identifier, count(distinct asset_id) c from l group by 1),"
     " w as (select identifier, c, case when n <= 1 then 1 when c >= n then 0 else ln(n / c) / ln(n) end rarity, list_filter(string_split(trim(regexp_replace(lower(identifier), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') ws from f, n),"
     " s as (select *, len(list_filter(ws, lambda x: contains('an ocr note es', x))) / greatest(len(ws), 1) share from w),"
