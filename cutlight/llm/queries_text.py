@@ -71,7 +71,8 @@ QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p8_report": p8_report, "
 SQL = {
     "p7_found": _SQL + "select distinct doc_id, item_id from dg join ig using (g)",
     "p7_items": _SQL.rstrip() + ", windows as (select doc_id, unnest(range(1, len(w) - 8)) k, w from w where len(w) >= 10), hit as (select distinct doc_id, k, item_id from (select doc_id, k, array_to_string(w[k:k + 9], ' ') g from windows) join ig using (g)),"
-    " runs as (select doc_id, item_id, count(*) + 9 words from (select *, k - row_number() over (partition by doc_id, item_id order by k) r from hit) group by doc_id, item_id, r),"
+    " steps as (select *, case when k - lag(k) over (partition by doc_id, item_id order by k) <= 10 then 0 else 1 end opens from hit), marked as (select *, sum(opens) over (partition by doc_id, item_id order by k rows unbounded preceding) r from steps),"
+    " runs as (select doc_id, item_id, max(k) - min(k) + 10 words from marked group by doc_id, item_id, r),"
     " spans as (select doc_id, item_id, max(words) longest from runs group by 1, 2) select item_id, count(*) n_docs, cast(max(longest) as int) longest from spans group by 1",
     # p8_report is one of many selections that keep the constraints, so only these are said in SQL
     "p8_constraints": "with h as (select nullif(regexp_replace(lower(source), '^\\s+|\\s+$', '', 'g'), '') source, count(distinct doc_id) n from documents where text <> '' group by 1)"
