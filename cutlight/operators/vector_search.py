@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +36,15 @@ def ensemble(phrases: DataFrame, vector: str) -> DataFrame:
 
 
 def centroids(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """Key, n and the element-wise sum of its vectors at length 1; partial sums are made before the shuffle."""
+    """Key, n and the element-wise sum of its vectors at length 1; whole vectors are summed before the shuffle.
+
+    Vectors of another length than the most frequent of their key count in n alone.
+    """
     size = rows.groupBy(key).agg(F.count("*").alias("n"))
-    sums = rows.select(key, F.posexplode(F.col(vector).cast("array<double>"))).groupBy(key, "pos").agg(F.sum("col").alias("x"))
-    whole = sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("sum"))
-    return size.join(whole, key).select(key, "n", normalise(F.col("sum")).alias("centroid"))
+    v = rows.where(F.size(vector) > 0).select(key, F.col(vector).cast("array<double>").alias("v"))
+    sums = v.groupBy(key, F.size("v").alias("d")).agg(F.count("*").alias("held"), Summarizer.sum(array_to_vector("v")).alias("s"))
+    whole = sums.groupBy(key).agg(F.max_by("s", F.struct("held", "d")).alias("s"))
+    return size.join(whole, key).select(key, "n", normalise(vector_to_array("s")).alias("centroid"))
 
 
 def dimension_conflicts(*parts: tuple[DataFrame, str, str]) -> DataFrame:

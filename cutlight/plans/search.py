@@ -13,7 +13,7 @@ from cutlight.functions.vectors import visual_confidence, z_score
 from cutlight.operators.fusion import best_location, eligible, fuse, ordering, trim
 from cutlight.operators.people import people_named_like
 from cutlight.operators.text_search import TextIndex, bm25, grouped_top_k, label_frequency, search_index, text_rows
-from cutlight.operators.vector_search import exact_top_k, library_statistics, stride_sample
+from cutlight.operators.vector_search import exact_top_k, library_statistics, rerank, stride_sample
 from cutlight.plans.planner import SearchPlan
 
 # The channel that each kind of text feeds.
@@ -132,9 +132,20 @@ def search(plan: SearchPlan, text: DataFrame, assets: DataFrame, patterns: list[
     return ranked(candidates, assets, plan, options)
 
 
-def progressive(plan: SearchPlan, text: DataFrame, assets: DataFrame, patterns: list[str], moments: DataFrame | None = None, query_vector: Column | None = None, options: Options = Options()) -> Iterator[tuple[str, bool, DataFrame]]:
-    """(phase, final, results): first by text, then with vectors. Each is computed when it is read, so a caller may stop."""
+def reranked(results: DataFrame, second: DataFrame, share: float = 0.35, depth: int = 40) -> DataFrame:
+    """Results in the order of confidences blended with a second opinion (moment_id, confidence2) on the first `depth`."""
+    opinion = results.join(second, "moment_id").select(F.col("position").alias("row_id"), "confidence2")
+    new = rerank(results.select(F.col("position").alias("row_id"), "confidence", F.col("position").alias("rank_no")), opinion, share, depth)
+    moved = results.drop("confidence").join(new.select(F.col("row_id").alias("position"), "confidence", "rank_no"), "position")
+    return moved.withColumn("position", F.col("rank_no")).drop("rank_no")
+
+
+def progressive(plan: SearchPlan, text: DataFrame, assets: DataFrame, patterns: list[str], moments: DataFrame | None = None, query_vector: Column | None = None, options: Options = Options(), second: DataFrame | None = None) -> Iterator[tuple[str, bool, DataFrame]]:
+    """(phase, final, results): first by text, then with vectors, then reranked if there is a second opinion. Each is computed when it is read, so a caller may stop."""
     more = moments is not None and query_vector is not None and bool(plan.visual)
-    yield "fast", not more, search(plan, text, assets, patterns, options=options)
+    yield "fast", not more and second is None, search(plan, text, assets, patterns, options=options)
+    best = search(plan, text, assets, patterns, moments, query_vector, options) if more or second is not None else None
     if more:
-        yield "refined", True, search(plan, text, assets, patterns, moments, query_vector, options)
+        yield "refined", second is None, best
+    if second is not None:
+        yield "reranked", True, reranked(best, second)

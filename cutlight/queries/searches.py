@@ -14,8 +14,7 @@ from cutlight.plans import search as se
 from cutlight.queries.catalogue import similarity_sql
 from cutlight.sources import load
 
-#: A word list for the queries below; callers give their own.
-LEXICON = pl.Lexicon([("cámara", "camera"), ("guitarra", "guitar"), ("río", "river"), ("noche", "night"), ("perro", "dog")])
+LEXICON = pl.Lexicon(pl.WORDS)
 QUERY = "la cámara en el río de noche"
 
 

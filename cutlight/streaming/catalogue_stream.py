@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from cutlight.session import remove_folder
+
 
 def file_stream(spark: SparkSession, schema: str, folder: str, files_a_batch: int = 8) -> DataFrame:
     """Parquet files as they arrive, so many a batch."""
@@ -23,7 +25,7 @@ def merge_batch(state: str, keys: list[str], latest: str) -> Callable[[DataFrame
     """A batch function that keeps the latest row of each key as numbered tables below a folder.
 
     Table n + 1 is table n with batch n applied; a batch that is repeated after a failure
-    writes the same table again.
+    writes the same table again. Tables before the last two are removed.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -31,6 +33,8 @@ def merge_batch(state: str, keys: list[str], latest: str) -> Callable[[DataFrame
         rows = batch if number == 0 else spark.read.parquet(f"{state}/{number}").unionByName(batch)
         w = Window.partitionBy(*keys).orderBy(F.desc(latest))
         rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").write.mode("overwrite").parquet(f"{state}/{number + 1}")
+        if number > 1:  # the one before is needed if this batch is repeated
+            remove_folder(spark, f"{state}/{number - 1}")
 
     return apply
 

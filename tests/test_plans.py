@@ -56,6 +56,18 @@ def test_cache():
     assert made == [("a",), ("b",), ("c",), ("a",)]
 
 
+def test_reranked(table):
+    r = table("position int, asset_id bigint, moment_id bigint, confidence double, score double", (1, 1, 10, 0.9, 0.9), (2, 2, 20, 0.8, 0.8), (3, 3, 30, 0.7, 0.7))
+    out = se.reranked(r, table("moment_id bigint, confidence2 double", (10, 0.0), (30, 1.0)), 0.5)
+    assert [(x.position, x.moment_id, round(x.confidence, 3)) for x in out.orderBy("position").collect()] == [(1, 30, 0.85), (2, 20, 0.8), (3, 10, 0.45)]
+
+
+def test_lexicon_takes_the_longest_phrase():
+    lex = pl.Lexicon([("coche", "car"), ("coche rojo", "red car"), ("puesta de sol", "sunset")])
+    assert lex.translate("un coche rojo en la puesta de sol y coches") == "red car sunset cars" and pl.Lexicon([]).translate("hola") == "hola"
+    assert pl.Lexicon(pl.WORDS).translate("Ríos de noche") == "rivers night"
+
+
 def test_search_end_to_end(table):
     text = table(
         "row_id bigint, asset_id bigint, moment_id bigint, kind string, text string, start_seconds double, end_seconds double",
