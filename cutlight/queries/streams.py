@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutlight.queries.catalogue import SQL as BATCH_SQL
-from cutlight.session import shared_folder
+from cutlight.session import remove_folder, shared_folder
 from cutlight.sources import load
 from cutlight.streaming import catalogue_stream as cs
 
 
 def _place(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/cutlight-stream-{uuid.uuid4().hex}"
+    """A folder for a stream's state and results, removed when the driver's Python ends."""
+    at = f"{shared_folder(spark).rstrip('/')}/cutlight-stream-{uuid.uuid4().hex}"
+    atexit.register(remove_folder, spark, at)
+    return at
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
