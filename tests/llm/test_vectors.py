@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cutlight.llm import cells as ce
 from cutlight.llm import graph as gr
+from cutlight.llm import neighbours as nb
 from cutlight.llm.clusters import communities, components, describe_clusters, similarity_clusters
 from cutlight.llm.neighbours import nearest
 from tests.conftest import rows_of
@@ -52,6 +53,26 @@ def test_nearest_is_exact(segments, spark):
     assert {k: [v[n][0] for n in range(1, 6)] for k, v in got.items()} == want
 
 
+def test_nearest_meets_all_vectors(spark, monkeypatch):
+    """Lone vectors, equal ones under many ids and repeated rows, over several products and rounds: as by brute force."""
+    monkeypatch.setattr(nb, "TILE", (16, 64))
+    monkeypatch.setattr(nb, "HELD", 40)
+    x = np.random.default_rng(5).normal(size=(3_000, 48)).astype(np.float32)
+    x[2_000:2_030] = x[7]
+    rows = [(i, "m", 48, v.tolist(), None, 1, 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + rows[:200], SCHEMA).repartition(3)
+    got = {}
+    for r in nb.nearest(df, df.where("segment_id % 25 = 7").select("segment_id")).collect():
+        got.setdefault(r["query"], {})[r["rank_no"]] = r["id"]
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    assert len(got) == 120 and sorted(got[7].values()) == list(range(2_000, 2_005))
+    for q, own in got.items():
+        s = np.round(y @ y[q], 12)
+        s[q] = -9
+        assert [own[n] for n in range(1, 6)] == np.lexsort((np.arange(len(s)), -s))[:5].tolist()
+
+
 def test_few_rows(table):
     one = table(SCHEMA, (1, "m", 2, [1.0, 0.0], None, 1, 1), (2, "m", 2, [1.0, 0.1], None, 1, 1))
     assert rows_of(nearest(one, one.select("segment_id")).select("query", "id", "rank_no")) == [(1, 2, 1), (2, 1, 1)]
